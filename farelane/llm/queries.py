@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import near_dedup
+from farelane.llm import mixing, near_dedup, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,27 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(documents(spark, sf_dir), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as sorted-string-table shards and read back from them."""
+    return sstable.encode_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix with target words for each source."""
+    return mixing.taken(documents(spark, sf_dir))
+
+
+def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in a weighted hash tree of 24 shards, and its shard with one more."""
+    return sharding.assign(documents(spark, sf_dir), 24)
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_sstable_tokens, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
