@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import mixing, near_dedup, sharding, sstable
+from farelane.llm import mixing, near_dedup, quality, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op5_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the compression classifier, learnt from the labels table."""
+    docs = documents(spark, sf_dir)
+    return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix with target words for each source."""
     return mixing.taken(documents(spark, sf_dir))
@@ -37,6 +43,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_sstable_tokens, op9_pivotal_mixing, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
