@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import mixing, near_dedup, quality, sharding, sstable
+from farelane.llm import mixing, near_dedup, quality, secrets, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: named patterns and windows of high entropy."""
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op5_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted-string-table shards and read back from them."""
     return sstable.encode_documents(documents(spark, sf_dir), tokenizer_path())
@@ -43,6 +48,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_entropy_secrets, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
