@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import mixing, near_dedup, quality, secrets, sharding, sstable
+from farelane.llm import decontam, mixing, near_dedup, quality, secrets, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in all documents, with alignment scores."""
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents over 2-word shingles at similarity 0.8."""
     return near_dedup.cluster(documents(spark, sf_dir), k=2, percent=80)
@@ -48,6 +53,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_entropy_secrets, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
