@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import decontam, mixing, near_dedup, quality, secrets, sharding, sstable
+from farelane.llm import decontam, licenses, mixing, near_dedup, quality, secrets, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op4_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and passages in all documents."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as sorted-string-table shards and read back from them."""
     return sstable.encode_documents(documents(spark, sf_dir), tokenizer_path())
@@ -53,6 +58,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op4_diagonal_licenses, op5_sstable_tokens, op6_compression_quality, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
