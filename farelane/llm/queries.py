@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import decontam, licenses, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
+from farelane.llm import decontam, licenses, maxent, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of all documents under the maximum-entropy model learnt from nine tenths of them."""
+    return maxent.score_documents(documents(spark, sf_dir))
+
+
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as progressive JPEG images and read back."""
     return pjpeg.store_texts(documents(spark, sf_dir))
@@ -63,6 +68,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op4_diagonal_licenses, op5_sstable_tokens, op6_compression_quality, op8_progressive_jpeg, op9_pivotal_mixing, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op4_diagonal_licenses, op5_sstable_tokens, op6_compression_quality, op7_maxent_lm, op8_progressive_jpeg, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
 ORACLES: dict[str, str] = {}
