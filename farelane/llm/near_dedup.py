@@ -88,7 +88,7 @@ def _sketches(k: int):
                     s = tb.shingle_set(h[at[q - i] : at[q - i + 1]], k)
                     if len(s):
                         n[q], node[q], bands[q] = len(s), fingerprint(s), band_keys(signature(s)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "text_key")), pa.array(n), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "text_key", "n_shingles", "node", "bands"])
 
     return run
 
@@ -182,20 +182,26 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ids take part in links but never name a component unless all its ids are null. Repeated rows are equal
     texts. Extra columns are ignored; an empty table gives an empty result.
     """
+    out = _named(docs.select("doc_id", "text", F.lit(0).cast("long").alias("mark")), k, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, node, comp, component_id) per row of docs (doc_id, text, mark); comp is null without words."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = materialize(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, node binary, bands array<long>"), "sketches")
-    ids = each.select("doc_id", "n_shingles", "node")
-    nodes = each.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
-    member = materialize(nodes.select("node", "size", "least_id", F.explode("bands").alias("band")), "bands")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "mark", F.xxhash64("text").alias("text_key"))
+    each = materialize(docs.mapInArrow(_sketches(k), "doc_id long, mark long, text_key long, n_shingles long, node binary, bands array<long>"), "sketches")
+    ids = each.select("doc_id", "mark", "n_shingles", "node")
+    nodes = each.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    member = materialize(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
     bucket = member.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(member.join(bucket, "band").select("band", "node", "size", "least_id", "hub"), "buckets")
+    shared = materialize(member.join(bucket, "band").select("band", "node", "size", "hub"), "buckets")
     drop_table(spark, member)
 
-    wanted = shared.select("node", "least_id").distinct()
-    # one document of each candidate node is read again for its whole set
-    first = ids.select("doc_id", "node").join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "node").distinct()
-    again = docs.join(first.select("doc_id", "node"), docs["doc_id"].eqNullSafe(first["doc_id"])).select("node", "text")
+    # one text of each candidate node is read again for its whole set
+    wanted = each.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
+    wanted = wanted.select("node", F.col("lead.doc_id").alias("_id"), F.col("lead.text_key").alias("_key"))
+    again = docs.join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
     sets = materialize(again.mapInArrow(_sets(k), "node binary, sig binary, shingles binary"), "sets")
     return _link(ids, shared, sets, percent)
 
@@ -225,5 +231,29 @@ def _link(ids: DataFrame, shared: DataFrame, sets: DataFrame, percent: int) -> D
     final = final.union(more.join(comp, "node", "left_anti").select("node", "comp"))
     named = ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id")).select("doc_id", "mark", "n_shingles", "node", "comp", "component_id")
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each group of cluster(), with docs' columns: a row with the group's id.
+
+    Of several rows with that id the one of least row hash stays, and of equal rows one. Rows without words are no
+    group and all stay. A group whose ids are all null keeps one row as well.
+    """
+    key = F.xxhash64(*[docs[c] for c in docs.columns])
+    named = materialize(_named(docs.select("doc_id", "text", key.alias("mark")), k, percent).where("comp is not null"), "named")
+    first = named.where("doc_id <=> component_id").groupBy("comp").agg(F.min("mark").alias("first"))
+    judged = named.join(first, "comp").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first")))
+    again = judged.where("keep").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    others = judged.where("not keep").select("doc_id", "mark").distinct()
+    rows = docs.withColumn("_mark", key)
+
+    def those(keys: DataFrame, how: str) -> DataFrame:
+        own = keys.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_own"))
+        return rows.join(own, (F.col("_mark") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+    again = materialize(again, "repeated")
+    one_each = those(others.union(again), "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return one_each
+    return one_each.unionByName(those(again, "left_semi").dropDuplicates(["doc_id", "_mark"]).select(*docs.columns))
