@@ -93,7 +93,7 @@ def word_spans(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> Iterator
             while at < hi:
                 to = min(hi, at + BLOCK)
                 while to < hi and not SPACE[raw[to - 1]]:
-                    more = np.flatnonzero(SPACE[raw[to : to + BLOCK]])
+                    more = np.flatnonzero(SPACE[raw[to : min(hi, to + BLOCK)]])
                     to = to + int(more[0]) + 1 if len(more) else min(hi, to + BLOCK)
                 start, size, hashes = _words(raw[at:to], np.zeros(1, np.int64), lower)
                 parts.append((start + at, size, hashes))
