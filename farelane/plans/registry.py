@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "expressions", "arrivals")
+MODULES = ("core", "expressions", "arrivals", "tables")
 
 
 def load() -> None:
