@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,9 @@ def build(app: str = "farelane", master: str | None = None, **conf: str) -> Spar
     """A session with SETTINGS; conf overrides and adds. The cluster sets master, memory and shuffle partitions."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in a local temp folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="farelane-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
