@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,12 @@ def difference(text: bytes, good: bytes, bad: bytes) -> float:
 
 def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
     """Raw dictionary content: an even share of each text, the texts' order as given."""
-    each = max(256, size // max(1, len(texts)))
-    return b"".join(t.encode()[:each] for t in texts)[:size]
+    return b"".join(t.encode()[: share_of(len(texts), size)] for t in texts)[:size]
+
+
+def share_of(texts: int, size: int = DICTIONARY) -> int:
+    """Bytes that each of so many texts may give."""
+    return max(256, size // max(1, texts))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -101,11 +106,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     With no rows of one class all scores are a half.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    usable = usable.where(crc32_of_id(F.col("doc_id")) % 5 != 0).withColumn("use", F.pmod(F.xxhash64("doc_id", F.lit("use")), F.lit(2)).cast("int"))
-    usable = usable.withColumn("order", F.row_number().over(W.partitionBy("quality", "use").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("order") <= sample).select("doc_id", "quality", "use")
+    usable = usable.where(crc32_of_id(F.col("doc_id")) % 5 != 0).withColumn("use", F.pmod(F.xxhash64("doc_id", F.lit("use")), F.lit(2)).cast("int")).withColumn("order", F.xxhash64("doc_id"))
+    n = {(r["quality"], r["use"]): r["count"] for r in usable.groupBy("quality", "use").count().collect()}
+    # rows of small hash first, somewhat more than needed, so that only a bounded number is sorted
+    small = [(F.col("quality") == q) & (F.col("use") == u) & (F.shiftrightunsigned("order", 11) <= int(min(1.0, (1.5 * sample + 1000) / c) * 2**53)) for (q, u), c in n.items()]
+    if not small:
+        return Model(b"good", b"bad", 0.0, 0.0)
+    usable = usable.where(reduce(lambda x, y: x | y, small)).withColumn("rank", F.row_number().over(W.partitionBy("quality", "use").orderBy("order", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "quality", "use")
     # at most 4 * sample ids
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(usable), "doc_id")
-    picked = rows.where("use = 0").select("doc_id", "quality", F.substring("text", 1, max(256, DICTIONARY // 64)).alias("text")).collect()
+    share = F.when(F.col("quality") == 1, share_of(min(sample, n.get((1, 0), 0)))).otherwise(share_of(min(sample, n.get((0, 0), 0))))
+    picked = rows.where("use = 0").select("doc_id", "quality", F.substring("text", F.lit(1), share).alias("text")).collect()
     picked.sort(key=lambda r: (r["doc_id"], r["text"]))
     good, bad = (dictionary([r["text"] for r in picked if r["quality"] == q]) for q in (1, 0))
     if not good or not bad:
