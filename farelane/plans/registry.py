@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "expressions", "arrivals", "tables", "files")
+MODULES = ("core", "expressions", "arrivals", "tables", "files", "evidence")
 
 
 def load() -> None:
