@@ -4,7 +4,7 @@ A shard is one file:
 
     block*  sparse index  Bloom filter  footer
 
-- block: zlib of entries (varint shared key bytes, varint own key bytes, varint value bytes, key rest, value), keys
+- block: zstandard frame of entries (varint shared key bytes, varint own key bytes, varint value bytes, key rest, value), keys
   ascending; the first entry of a block has its whole key. The key is 0x00 for a null id or 0x01 and the id as a big-endian
   unsigned 64-bit number with the sign bit flipped, then an 8-byte text mark and a 4-byte count that tell
   repeated ids apart. The value is the token ids, 2 bytes each if all fit, else 4, after one byte that says which.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from farelane.llm.common import materialize, shared_dir
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 64 << 10
 MAGIC, VERSION = 0x53535446, 1
 FOOTER = struct.Struct("<8Q")
-CACHE = 300_000
+CACHE = 600_000
 
 
 # ---- tokenising ------------------------------------------------------------------------------------------------
@@ -146,6 +147,7 @@ class Writer:
 
     def __init__(self, out, block_bytes: int = BLOCK_BYTES):
         self.out, self.block_bytes, self.at, self.tokens = out, block_bytes, 0, 0
+        self.press = zstandard.ZstdCompressor(level=1)
         self.block, self.first, self.last = bytearray(), b"", b""
         self.index, self.ids, self.entries = bytearray(), [], 0
 
@@ -156,7 +158,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            at, n = self._put(zlib.compress(bytes(self.block), 1))
+            at, n = self._put(self.press.compress(bytes(self.block)))
             self.index += varint(len(self.first)) + self.first + varint(at) + varint(n)
             self.block.clear()
 
@@ -213,7 +215,7 @@ class Reader:
         return self.source.read(n)
 
     def block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        data, i, key = zlib.decompress(self._read(*self.where[k])), 0, b""
+        data, i, key = zstandard.ZstdDecompressor().decompress(self._read(*self.where[k])), 0, b""
         while i < len(data):
             shared, i = read_varint(data, i)
             own, i = read_varint(data, i)
