@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelane.llm import decontam, licenses, maxent, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
+from farelane.llm import decontam, licenses, maxent, mixing, near_dedup, oracles, pjpeg, quality, secrets, sharding, sstable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_entropy_secrets, op4_diagonal_licenses, op5_sstable_tokens, op6_compression_quality, op7_maxent_lm, op8_progressive_jpeg, op9_pivotal_mixing, op10_hash_tree_sharding)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_minhash_near_dedup": oracles.NEAR_DEDUP, "op4_diagonal_licenses": oracles.LICENSES}
