@@ -271,20 +271,35 @@ def _initial(counts: DataFrame) -> tuple[Model, int, int]:
     return model, int(whole[0] or 0), int(whole[1] or 0)
 
 
+def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, and how many of them learn; parts are (words, weight), folded as they come."""
+    words, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(parts), 16):
+        some = parts[i : i + 16]
+        both = np.concatenate([words, *(w for w, _ in some)])
+        words, inverse = np.unique(both, return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([count, *(t for _, t in some)]), len(words)).astype(np.int64)
+    return words, count
+
+
 def _score(model: Model, n: int, v: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        word = answers.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, known = word[order], answers.column("n").to_numpy()[order]
-        out: list[list] = [[], [], [], []]
+        held = docs.column("held_out").to_numpy(zero_copy_only=False)
+        parts, at = [], 0
         for batch in docs.combine_chunks().to_batches():
-            for _, _, words, begin in _words_of(batch):
-                count = known[np.minimum(np.searchsorted(word, words), len(word) - 1)]
-                base = np.log10((count + SMOOTH) / (n + SMOOTH * (v + 1)))
-                score = log_likelihood(model, words, begin, count)
-                for k, x in enumerate((count > 0, base, score)):
-                    out[k + 1].append(np.add.reduceat(x.astype(np.int64) if k == 0 else x, begin[:-1]))
-                out[0].append(np.diff(begin))
+            for i, j, words, begin in _words_of(batch):
+                parts.append((words, begin, np.repeat(~held[at + i : at + j], np.diff(begin))))
+            at += batch.num_rows
+        word, count = _tally([(w, t) for w, _, t in parts])
+        other = answers.column("word").to_numpy().view(np.uint64)
+        count[np.searchsorted(word, other)] = answers.column("n").to_numpy()
+        out: list[list] = [[], [], [], []]
+        for words, begin, _ in parts:
+            own = count[np.searchsorted(word, words)]
+            base = np.log10((own + SMOOTH) / (n + SMOOTH * (v + 1)))
+            for k, x in enumerate(((own > 0).astype(np.int64), base, log_likelihood(model, words, begin, own))):
+                out[k + 1].append(np.add.reduceat(x, begin[:-1]))
+            out[0].append(np.diff(begin))
         size, found, base, score = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
@@ -305,6 +320,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = materialize(requests.groupBy("word").agg(F.sum("c").alias("n")), "lm-counts")
     model, n, v = _initial(counts.where("n > 0"))
     model = _trained(blocks, model)
-    answers = requests.select("block", "word").join(counts, "word")
+    # a word whose count is that of its block needs no answer
+    answers = requests.join(counts, "word").where("n <> c").select("block", "word", "n")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, n, v), schema)
 
