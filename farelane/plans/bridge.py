@@ -39,10 +39,14 @@ DUCK_VIEWS = _views("epoch_us(ts) / 1e6", "CAST(epoch_us({}) / 1e6 AS DOUBLE)")
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
+    """Temporary views of the tables and bridge views in a folder; nothing to do where they stand already."""
+    if getattr(spark, "_farelane_views", None) == sf_dir:
+        return
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name, sql in SPARK_VIEWS.items():
         spark.sql(sql.replace("VARCHAR(20)", "STRING")).createOrReplaceTempView(name)
+    spark._farelane_views = sf_dir
 
 
 def view(spark: SparkSession, name: str) -> DataFrame:
