@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds bring passages and test items together, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds bring passages and test items together, Smith-Waterman scores them.
 
-1. Count in how many documents each word n-gram of the test items occurs (one pass, counts only).
-2. An item's seeds are the rarer half of its n-grams. The choice is relative to the item, so an item that was
-   copied into very many documents keeps its seeds.
-3. A second pass looks the seeds up in each text. Hits of one item within reach of each other make a passage, which
-   is aligned with the item word by word; score is the best local alignment over that of the item with itself.
+1. Every word n-gram of a test item is a seed. Which of them an edited copy still holds can't be known beforehand, so none
+   is left out, however rare or common it is in the documents.
+2. One pass looks the seeds up in each text. Hits of one item within reach of each other make a passage. A passage that
+   lacks too many of the item's words to reach THRESHOLD is dropped; each other one is aligned with the item word by
+   word, and score is the best local alignment over that of the item with itself.
 
-Test items come to the tasks in blocks of at most BLOCK_BYTES of text, one pair of passes a block, so what is broadcast
+Test items come to the tasks in blocks of at most BLOCK_BYTES of text, one pass a block, so what is broadcast
 is bounded however large the benchmark is. Documents are never shuffled.
 """
 
@@ -71,16 +71,6 @@ class Items:
         order = np.argsort(flat, kind="stable")
         return cls(ids, words, flat[order], of[order], at[order])
 
-    def rarer_half(self, counts: np.ndarray) -> Items:
-        """Only the seeds: of each item's n-grams the half (rounded up) that fewest documents hold; ties by hash."""
-        count = np.repeat(counts, np.diff(self.starts))
-        order = np.lexsort((self.at, self.grams, count, self.of))
-        size = np.bincount(self.of, minlength=len(self.words))
-        rank = np.arange(len(order)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        keep = np.zeros(len(order), bool)
-        keep[order] = rank < (size[self.of[order]] + 1) // 2
-        return Items(self.ids, self.words, self.grams[keep], self.of[keep], self.at[keep])
-
     def hits(self, bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents (0 is the block's first), word positions in h, and indexes into distinct of the n-grams found."""
         g = tb.chain(h, N)
@@ -119,7 +109,7 @@ def passages(positions: np.ndarray, offsets: np.ndarray, length: int, total: int
     order = np.argsort(positions, kind="stable")
     positions, offsets = positions[order], offsets[order]
     cut = np.flatnonzero(np.diff(positions) > length) + 1
-    slack, out = length // 2 + N, []
+    slack, out = length, []  # a copy that reaches THRESHOLD has at most so many words put in or left out
     for p, o in zip(np.split(positions, cut), np.split(offsets, cut), strict=True):
         if len(np.unique(p)) >= LEAST_HITS:
             out.append((max(0, int((p - o).min()) - slack), min(total, int((p - o).max()) + length + slack)))
@@ -136,12 +126,14 @@ def leaks(seeds: Items, bounds: np.ndarray, h: np.ndarray, cache: dict) -> Itera
         sizes = seeds.starts[k[mine] + 1] - seeds.starts[k[mine]]
         where = np.repeat(at[mine] - bounds[d], sizes)
         post = np.repeat(seeds.starts[k[mine]] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        item, offset = seeds.of[post], seeds.at[post]
+        order = np.argsort(seeds.of[post], kind="stable")
+        item, offset, where = seeds.of[post][order], seeds.at[post][order], where[order]
         text = h[bounds[d] : bounds[d + 1]]
-        for i in np.unique(item):
-            own = item == i
-            best = (0.0, 0, 0)
+        for own in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            i, best = item[own[0]], (0.0, 0, 0)
             for a, z in passages(where[own], offset[own], len(seeds.words[i]), len(text)):
+                if np.isin(seeds.words[i], text[a:z]).sum() < THRESHOLD * len(seeds.words[i]):
+                    continue
                 key = (int(i), text[a:z].tobytes())
                 if key not in cache:
                     if len(cache) > 20_000:
@@ -154,21 +146,6 @@ def leaks(seeds: Items, bounds: np.ndarray, h: np.ndarray, cache: dict) -> Itera
                 yield int(d), int(i), *best
 
 
-def _count(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(items.distinct)
-        counts = np.zeros(n, np.int64)
-        for batch in batches:
-            raw, off = tb.column_bytes(batch.column("text"))
-            for _, _, bounds, h in tb.word_hashes(raw, off):
-                doc, _, k = items.hits(bounds, h)
-                counts += np.bincount(np.unique(doc * n + k) % n, minlength=n)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["gram", "n"])
-
-    return run
-
-
 def _find(seeds: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -211,16 +188,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     cut.unpersist()
 
 
-def _seeds(docs: DataFrame, items: Items) -> Items:
-    if not len(items.distinct):
-        return items
-    found = docs.select("text").mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.distinct), np.int64)
-    for r in found:
-        counts[r["gram"]] = r["n"]
-    return items.rarer_half(counts)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, item_words) for each document and test item whose best alignment
     scores THRESHOLD or more; words count from 0.
@@ -233,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _blocks(benchmark):
-        part = rows.mapInArrow(_find(_seeds(docs, items)), schema)
+        part = rows.mapInArrow(_find(items), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -241,5 +208,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no test item is found, with docs' columns."""
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(_seeds(docs, items)), docs.schema)
+        docs = docs.mapInArrow(_clean(items), docs.schema)
     return docs

@@ -154,6 +154,14 @@ def test_decontamination_finds_copies_and_edits(spark, docs, none):
     assert decontam.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_finds_copies_with_every_few_words_replaced(spark):
+    item = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join(f"other{i}" if i % k == k - 1 else w for i, w in enumerate(item))) for k in (4, 5, 6, 7)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {k: pytest.approx(smith_waterman(item, t.split())) for k, t in rows} and min(got.values()) >= 0.5
+
+
 def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     texts = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
