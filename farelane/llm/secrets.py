@@ -117,8 +117,10 @@ def scan_block(raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, in
     def each(needle: bytes, hay: bytes) -> set[int]:
         docs, at = set(), hay.find(needle)
         while at >= 0:
-            docs.add(d := of(at))
-            at = hay.find(needle, int(off[d + 1]) - len(needle) + 1)
+            end = int(off[(d := of(at)) + 1])
+            if inside := at + len(needle) <= end:  # else it spans two texts
+                docs.add(d)
+            at = hay.find(needle, end if inside else at + 1)
         return docs
 
     for d in set().union(*(each(x, low) for x in HINTS)):
