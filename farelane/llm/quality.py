@@ -5,7 +5,8 @@ A text compresses better with the dictionary of the class that it resembles. The
 logistic curve, fitted on labelled texts that are in neither dictionary.
 
 The fit reads a bounded sample of labelled rows: SAMPLE rows of each class for each of the two purposes, those of
-the smallest id hash. Scoring reads every text whole.
+the smallest id hash. Of these, the dictionaries take whole texts, by id hash, until DICTIONARY bytes are full; only the text
+that no longer fits gives pieces spread over its whole length. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from farelane.llm import textbytes as tb
 from farelane.llm.common import crc32_of_id
 
 SAMPLE, DICTIONARY, LEVEL, THRESHOLD = 4000, 1 << 20, 6, 0.3
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -58,14 +60,24 @@ def difference(text: bytes, good: bytes, bad: bytes) -> float:
     return (len(by_bad.compress(text)) - len(by_good.compress(text))) / len(text)
 
 
-def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """Raw dictionary content: an even share of each text, the texts' order as given."""
-    return b"".join(t.encode()[: share_of(len(texts), size)] for t in texts)[:size]
+def shares(sizes: list[tuple[int, int]], size: int = DICTIONARY) -> dict[int, float]:
+    """What part of its text each id gives to a dictionary of `size` bytes, of (id, bytes) in the order of choice."""
+    out, room = {}, size
+    for i, n in sizes:
+        if n:
+            out[i] = min(1.0, room / n)
+            room -= min(n, room)
+        if not room:
+            break
+    return out
 
 
-def share_of(texts: int, size: int = DICTIONARY) -> int:
-    """Bytes that each of so many texts may give."""
-    return max(256, size // max(1, texts))
+def spread(text: Column, share: Column) -> Column:
+    """The text, or for a share under 1 so much of it in pieces of PIECE characters at even distances from its start to its end."""
+    n = F.floor(F.length(text) * share / PIECE).cast("int")
+    step = (F.length(text) - PIECE) / F.greatest(n - 1, F.lit(1))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(text, F.floor(k * step).cast("int") + 1, F.lit(PIECE)))
+    return F.when(share >= 1, text).when(n > 0, F.array_join(pieces, "")).otherwise("")
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -112,13 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small = [(F.col("quality") == q) & (F.col("use") == u) & (F.shiftrightunsigned("order", 11) <= int(min(1.0, (1.5 * sample + 1000) / c) * 2**53)) for (q, u), c in n.items()]
     if not small:
         return Model(b"good", b"bad", 0.0, 0.0)
-    usable = usable.where(reduce(lambda x, y: x | y, small)).withColumn("rank", F.row_number().over(W.partitionBy("quality", "use").orderBy("order", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "quality", "use")
+    usable = usable.where(reduce(lambda x, y: x | y, small)).withColumn("rank", F.row_number().over(W.partitionBy("quality", "use").orderBy("order", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "quality", "use", "rank")
     # at most 4 * sample ids
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(usable), "doc_id")
-    share = F.when(F.col("quality") == 1, share_of(min(sample, n.get((1, 0), 0)))).otherwise(share_of(min(sample, n.get((0, 0), 0))))
-    picked = rows.where("use = 0").select("doc_id", "quality", F.substring("text", F.lit(1), share).alias("text")).collect()
+    sizes = rows.where("use = 0").groupBy("quality", "rank", "doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()
+    given = [(i, q, x) for q in (1, 0) for i, x in shares([(r["doc_id"], r["n"]) for r in sorted(sizes, key=lambda r: r["rank"]) if r["quality"] == q]).items()]
+    if not given:
+        return Model(b"good", b"bad", 0.0, 0.0)
+    chosen = docs.sparkSession.createDataFrame(given, "doc_id long, quality int, share double")
+    # about DICTIONARY bytes of each class
+    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", spread(F.col("text"), F.col("share")).alias("text")).collect()
     picked.sort(key=lambda r: (r["doc_id"], r["text"]))
-    good, bad = (dictionary([r["text"] for r in picked if r["quality"] == q]) for q in (1, 0))
+    good, bad = ("".join(r["text"] for r in picked if r["quality"] == q).encode() for q in (1, 0))
     if not good or not bad:
         return Model(b"good", b"bad", 0.0, 0.0)
     held = rows.where("use = 1").select("quality", "text").mapInArrow(_score(Model(good, bad, 1.0, 0.0), ["quality"]), "quality int, difference double, score double").select("quality", "difference").collect()

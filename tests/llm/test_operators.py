@@ -279,6 +279,25 @@ def test_quality(spark, docs, none):
     assert quality.scores(none, model).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    common, own = [f"x{rng.randrange(10**6)}" for _ in range(500)], [[f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "bg"]
+    # what tells the classes apart comes after 14 KB
+    rows = [(i, " ".join(rng.choices(common, k=2000)) + " " + " ".join(rng.choices(own[i % 2], k=400)), i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert max(len(model.good), len(model.bad)) <= quality.DICTIONARY and all(w.encode() in model.good for w in own[1])
+    got = quality.scores(table, model).join(table, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and all((r["score"] >= 0.5) == (r["quality"] == 1) for r in got)
+
+
+def test_quality_pieces_of_a_text_that_does_not_fit(spark):
+    assert quality.shares([(1, 600), (2, 0), (3, 800), (4, 9)], 1000) == {1: 1.0, 3: 0.5} and quality.shares([(7, 4000)], 1000) == {7: 0.25}
+    text = "".join(chr(97 + i // 1000) for i in range(20_000))
+    got = [r[0] for r in spark.createDataFrame([(text, 1.0), (text, 0.26), (text, 0.02), ("ab", 0.5)], "text string, share double").select(quality.spread(F.col("text"), F.col("share"))).collect()]
+    assert got[0] == text and len(got[1]) == 20 * quality.PIECE and set(got[1]) == set(text) and len(got[2]) == quality.PIECE and got[3] == ""
+
+
 def test_maxent(docs, none):
     rows = corpus()
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, *_ in rows]
