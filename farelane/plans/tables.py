@@ -68,7 +68,7 @@ def _(spark: SparkSession) -> DataFrame:
 plain("g21_pattern_variants", "SELECT route_id, kinds, n, CAST(row_number() OVER (PARTITION BY route_id ORDER BY n DESC, kinds) AS BIGINT) AS variant_id FROM (SELECT route_id, kinds, count(*) AS n FROM (SELECT t.trip_id, t.route_id, concat(min(x.kind), max(x.kind)) AS kinds FROM trips t JOIN taps x ON x.trip_id = t.trip_id GROUP BY t.trip_id, t.route_id) a GROUP BY route_id, kinds) b")
 
 # ---- matching ------------------------------------------------------------------------------------------------------
-_CAND = "SELECT lpad(CAST(l_suppkey AS VARCHAR(20)), 5, '0') AS bus_id, DATE '2023-11-01' + CAST(l_orderkey % 5 AS INT) AS date, concat('ep', CAST(l_partkey % 40 AS VARCHAR(20))) AS device_id, max(l_discount * 10) AS score, max(l_tax) > 0.06 AS temporal, max(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS n_dictionary FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey, l_orderkey % 5, l_partkey % 40"
+_CAND = "SELECT lpad(CAST(l_suppkey AS VARCHAR(20)), 5, '0') AS bus_id, DATE '2023-11-01' + CAST(l_orderkey % 5 AS INT) AS date, concat('ep', CAST(l_partkey % 40 AS VARCHAR(20))) AS device_id, max(l_discount * 10) AS score, max(l_tax) > 0.06 AS temporal, max(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS n_dictionary FROM lineitem GROUP BY l_suppkey, l_orderkey % 5, l_partkey % 40"
 
 
 def candidates(spark: SparkSession) -> DataFrame:
