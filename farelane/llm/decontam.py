@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
 
-N, LEAST_HITS, THRESHOLD = 3, 2, 0.5
+N, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
 _MASK = np.uint64((1 << 20) - 1)
@@ -111,8 +111,7 @@ def passages(positions: np.ndarray, offsets: np.ndarray, length: int, total: int
     cut = np.flatnonzero(np.diff(positions) > length) + 1
     slack, out = length, []  # a copy that reaches THRESHOLD has at most so many words put in or left out
     for p, o in zip(np.split(positions, cut), np.split(offsets, cut), strict=True):
-        if len(np.unique(p)) >= LEAST_HITS:
-            out.append((max(0, int((p - o).min()) - slack), min(total, int((p - o).max()) + length + slack)))
+        out.append((max(0, int((p - o).min()) - slack), min(total, int((p - o).max()) + length + slack)))
     return out
 
 

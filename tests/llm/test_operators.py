@@ -162,6 +162,16 @@ def test_decontamination_finds_copies_with_every_few_words_replaced(spark):
     assert got == {k: pytest.approx(smith_waterman(item, t.split())) for k, t in rows} and min(got.values()) >= 0.5
 
 
+def test_decontamination_needs_one_seed_hit(spark):
+    long = [f"w{i}" for i in range(15)]
+    edited = [f"other{i}" if i in (3, 6, 9, 12) else w for i, w in enumerate(long)]
+    edited[1] = "other1"  # only w13 w14 and pairs are left, with no run of three
+    rows = [(1, "some text one two three more"), (2, "one two four"), (3, "f one two three four g"), (4, " ".join(f"other{i}" if i in (3, 6, 9, 12) else w for i, w in enumerate(long))), (5, " ".join(edited))]
+    benchmark = spark.createDataFrame([(1, "one two three"), (2, "one two three four"), (3, " ".join(long))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1), (1, 2), (3, 1), (3, 2), (4, 3)}
+
+
 def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     texts = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
