@@ -4,7 +4,8 @@ Candidates are maximal runs of the base64 alphabet (letters, digits, + / _ = -)
 A window of WINDOW characters slides over each; counts by character, and the sum of c*log2(c) over them, are kept
 up to date by one character in and one out. The window's Shannon entropy is compared with the threshold of its
 character class: hexadecimal, one-case letters with digits, or mixed. Windows over it are merged into spans,
-and the allow list drops spans of known harmless shapes.
+and the allow list drops spans of known harmless shapes. A UUID, a date or a token with a stand-in cuts the run that holds it, so what
+stands beside it is still scanned.
 """
 
 from __future__ import annotations
@@ -30,18 +31,23 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 WINDOW = 20
 #: Bits a window of WINDOW characters must reach, by character class.
 BITS = {"hex": 3.0, "one case": 3.7, "mixed": 3.9}
-#: Shapes of harmless strings.
+_UUID = rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+_DATE = rb"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[Tt_-]?[0-9]{2}[_-]?[0-9]{2}(?:[_-]?[0-9]{2}(?:[0-9]{3}){0,3})?(?:[Zz]|[+-][0-9]{4})?)?"
+#: Shapes of harmless strings: of a whole run or of a span.
 ALLOWED = tuple(
     re.compile(p)
     for p in (
         rb"[0-9]+",  # numbers
-        rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
-        rb"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_:+-]*",  # dates and time stamps
-        rb"(?i:.*(?:example|sample|placeholder|changeme|dummy|your[_-]?(?:key|token|secret)).*)",  # stand-ins
-        rb"(?i:.*(?:0123456789|1234567890|abcdefghij|qwertyuiop).*)",  # keyboard and alphabet runs
+        _UUID,
+        _DATE,  # dates and time stamps
         rb"(?:[A-Za-z]{2,}[_/=+-])*[A-Za-z]{2,}[0-9]{0,4}",  # identifiers and paths of words, perhaps numbered
     )
 )
+#: Harmless parts of a run, from one separator to another.
+BOUNDED = re.compile(rb"(?<![A-Za-z0-9])(?:%s|%s)(?![A-Za-z0-9])" % (_UUID, _DATE))
+#: Stand-ins, keyboard and alphabet runs; with one, the letters and digits around it are harmless up to a separator.
+STAND_IN = re.compile(rb"(?i:example|sample|placeholder|changeme|dummy|your[_-]?(?:key|token|secret)|0123456789|1234567890|abcdefghij|qwertyuiop)")
+_TOKEN_END = re.compile(rb"[A-Za-z0-9]*")
 
 _HEX, _B64, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _HEX[[*b"0123456789abcdef"]] = True
@@ -91,6 +97,25 @@ def hot_windows(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def unknown_parts(text: bytes) -> list[tuple[int, int]]:
+    """What is left of a run between its harmless parts."""
+    harmless = [m.span() for m in BOUNDED.finditer(text)]
+    end = 0
+    for m in STAND_IN.finditer(text):
+        if m.start() >= end:
+            a = m.start()
+            while a > end and text[a - 1 : a].isalnum():
+                a -= 1
+            end = _TOKEN_END.match(text, m.end()).end()
+            harmless.append((a, end))
+    out, at = [], 0
+    for a, z in sorted(harmless):
+        if a > at:
+            out.append((at, a))
+        at = max(at, z)
+    return [*out, (at, len(text))] if at < len(text) else out
+
+
 def runs(member: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of maximal runs of True of at least `least`, cut where documents begin."""
     begins = member.copy()
@@ -141,7 +166,7 @@ def scan_block(raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, in
         text = data[s:e]
         if any(p.fullmatch(text) for p in ALLOWED):
             continue
-        for a, z in hot_windows(text):
+        for a, z in ((p + a, p + z) for p, q in unknown_parts(text) for a, z in hot_windows(text[p:q])):
             a, z = int(s - off[d]) + a, int(s - off[d]) + z
             if not any(x[0] <= a and z <= x[2] for x in base) and not any(p.fullmatch(data[off[d] + a : off[d] + z]) for p in ALLOWED):
                 found.setdefault(d, []).append((a, 3, z))

@@ -207,6 +207,19 @@ def test_hints_in_halves_of_neighbouring_texts():
         assert secrets.scan_block(raw, off) == want and want
 
 
+def test_allowed_parts_of_a_run_hide_only_themselves():
+    key = "q8Zr2LkT9xVb4NwPq7Ys1Jd6"
+    uuid, stamp = "123e4567-e89b-12d3-a456-426614174000", "2024-05-01T120000Z"
+    harmless = [uuid, f"{stamp}-{stamp}", "your_key_abcdefghij1234567890qwe", "2024-05-01_12-30-00_sample_1a2b3c4d5e", f"{key}sample"]
+    hidden = [f"2024-05-01_{key}", f"{stamp}_{key}", f"sample/{key}", f"{key}/example", f"{uuid}/{key}", f"abcdefghij-{key}=1234567890"]
+    raw, off = tb.column_bytes(pa.array(harmless + hidden))
+    got = secrets.scan_block(raw, off)
+    assert sorted(got) == list(range(len(harmless), len(harmless) + len(hidden)))
+    for i, t in enumerate(hidden, len(harmless)):
+        a = t.index(key)
+        assert any(k == 3 and s <= a + 2 and e >= a + len(key) - 2 for s, k, e in got[i])
+
+
 def test_incremental_entropy_is_the_entropy_of_each_window():
     rng = random.Random(2)
     for _ in range(20):
