@@ -28,6 +28,7 @@ from farelane.llm import textbytes as tb
 UNIT = 576
 MCU_BYTES = 6 * 64
 MOST_ACROSS = 64
+MOST_DOWN = 4095  # a height has 16 bits
 EOB_MOST = 0x7FFF
 
 
@@ -110,9 +111,9 @@ def _magnitude(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grid(n_bytes: int) -> tuple[int, int]:
-    """MCUs across and down for a payload."""
+    """MCUs across and down for a payload: MOST_ACROSS wide, and wider where the height would pass MOST_DOWN."""
     mcus = max(1, -(-n_bytes // MCU_BYTES))
-    across = min(mcus, MOST_ACROSS)
+    across = max(min(mcus, MOST_ACROSS), -(-mcus // MOST_DOWN))
     return across, -(-mcus // across)
 
 
@@ -496,7 +497,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): digests of the text stored as a progressive JPEG and read back from it.
 
     Null texts are empty and still fill one unit. Equal texts give equal values; repeated rows give one row each; extra columns are
-    ignored; a very long text makes a taller image. An empty table gives an empty result.
+    ignored; a very long text makes a taller image, and from 4095 MCU rows on a wider one. An empty table gives an empty result.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, schema)

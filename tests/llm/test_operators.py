@@ -369,6 +369,17 @@ def test_progressive_scans_code_by_code(monkeypatch):
     assert pjpeg.payload(slow, 3000) == data
 
 
+def test_images_grow_in_width_where_the_height_ends(monkeypatch):
+    for n in (1, 64 * 4095 * 384, 64 * 4095 * 384 + 1, (1 << 31) - 1):
+        across, down = pjpeg.grid(n)
+        assert across * down * 384 >= n and max(across, down) * 16 < 1 << 16
+    assert pjpeg.grid(64 * 4095 * 384) == (64, 4095)
+    monkeypatch.setattr(pjpeg, "MOST_DOWN", 2)
+    data = np.random.default_rng(3).integers(0, 256, 384 * 301 + 5, dtype=np.uint8).tobytes()
+    image = pjpeg.decode(pjpeg.encode(data))
+    assert (image.width, image.height) == (151 * 16, 32) and pjpeg.payload(image, len(data)) == data
+
+
 def test_refinement_with_zero_history():
     """A band with zeros: first scan sets one coefficient, the refinement corrects it and adds another."""
     codes = pjpeg._table({0x00: 2, 0x01: 2, 0x11: 3, 0xF0: 3})
