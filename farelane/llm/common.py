@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, on a local master, as in tests) a new local one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = getattr(spark, "_farelane_shared", None) or tempfile.mkdtemp(prefix="farelane-")
         spark._farelane_shared = place
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -40,6 +43,17 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions_for(spark: SparkSession, n_bytes: float, each: float) -> int:
     """Partitions of about `each` bytes, at least as many as the cluster runs at once."""
     return max(int(spark.sparkContext.defaultParallelism), math.ceil(n_bytes / each))

@@ -5,9 +5,11 @@
 2. HASHES minima per node, cut into bands of ROWS: a pair at the similarity threshold shares no band with
    probability (1 - t**ROWS)**(HASHES/ROWS), 4.6e-7 for 0.8.
 3. In each bucket every member is compared with the bucket's smallest member (the hub). Links found so are
-   joined into components. Buckets that still hold several components are then compared completely, member
-   against member of other components, in blocks. So no link between components is lost and no list of
-   pairs is ever emitted: a block yields confirmed links only.
+   joined into components. In buckets that still hold several components, members outside the largest one are compared
+   with all of other components, on signatures alone; those with a likely partner come again with their full sets. Rows
+   grow with the members of buckets, not with pairs: a bucket is one tile, cut further only where it is beyond a tile's
+   bound. A pair is judged in the first bucket that it shares. So no link between components is lost and no
+   list of pairs is ever emitted.
 4. A comparison reads the two signatures in batches and stops as soon as the posterior probability of
    similarity >= t (uniform prior) falls below MISS; survivors are confirmed on the full sets.
 """
@@ -19,17 +21,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
-from farelane.llm.common import drop_table, materialize
+from farelane.llm.common import drop_table, materialize, unused
 
 HASHES, ROWS, BATCH = 288, 6, 48
 MISS = 1e-6
-BLOCK_LEFT, BLOCK_BYTES = 256, 8 << 20
+#: A tile holds at most so many members with signatures, so many bytes of sets; pairs are judged so many at a time.
+TILE_ROWS, BLOCK_BYTES, PAIRS = 4096, 8 << 20, 1 << 16
 
 
 @lru_cache
@@ -109,46 +111,199 @@ def _sets(k: int):
     return run
 
 
-def _compare(percent: int):
-    """Links between the left and right members of one block that lie in different components."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block.side == 0].drop_duplicates("node"), block[block.side == 1].drop_duplicates("node")
-        out = []
-        if len(left) and len(right):
-            need = needed_matches(percent / 100, MISS, BATCH, HASHES)
-            sig = np.frombuffer(b"".join(right.sig), np.uint32).reshape(len(right), HASHES)
-            sets = [np.frombuffer(x, np.uint64) for x in right.shingles]
-            size = np.array([len(x) for x in sets])
-            node, comp = right.node.to_numpy(), right.comp.to_numpy()
-            for one in left.itertuples():
-                own, mine = np.frombuffer(one.sig, np.uint32), np.frombuffer(one.shingles, np.uint64)
-                # sizes alone bound the similarity: min/max >= t
-                rest = np.flatnonzero((comp != one.comp) & (100 * np.minimum(size, len(mine)) >= percent * np.maximum(size, len(mine))))
-                seen = np.zeros(len(rest), np.int64)
-                for b, least in enumerate(need):
-                    seen += (sig[rest, b * BATCH : (b + 1) * BATCH] == own[b * BATCH : (b + 1) * BATCH]).sum(axis=1)
-                    keep = seen >= least
-                    rest, seen = rest[keep], seen[keep]
-                joined = set()
-                for q in rest[np.argsort(-seen, kind="stable")]:  # likeliest first; one link to a component is enough
-                    if comp[q] in joined:
-                        continue
-                    at = np.searchsorted(sets[q], mine)
-                    both = int((sets[q][np.minimum(at, size[q] - 1)] == mine).sum())
-                    if 100 * both >= percent * (size[q] + len(mine) - both):
-                        joined.add(comp[q])
-                        out.append((one.comp, comp[q]))
-        return pd.DataFrame(out, columns=["a", "b"])
+def _by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys from sorted rows, with the positions where a run begins and the end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        starts = _starts(held, keys)
+        if len(starts) > 1:
+            yield held.slice(0, int(starts[-1])), starts
+            held = held.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.append(_starts(held, keys), held.num_rows)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        col = table.column(k)
+        x = _pairs(col) if pa.types.is_binary(col.type) else col.to_numpy()[:, None]
+        new[1:] |= (x[1:] != x[:-1]).any(axis=1)
+    return np.flatnonzero(new)
+
+
+def _pairs(col: pa.ChunkedArray) -> np.ndarray:
+    """16-byte names as two numbers each."""
+    return tb.column_bytes(col)[0].view(">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _likely(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, apart, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left, right) that apart(left, right) admits and whose signatures, read in batches, keep the posterior
+    probability of similarity >= percent/100 at MISS or more; and how many minima they share."""
+    need = needed_matches(percent / 100, MISS, BATCH, HASHES)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    low = np.ascontiguousarray(sig[:, :BATCH].astype(np.uint8))  # of the first batch the lowest byte: at most more matches
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        own = left[at : at + step]
+        for to in range(0, len(right), PAIRS):
+            others = right[to : to + PAIRS]
+            n, m = size[own][:, None], size[others][None, :]
+            # sizes alone bound the similarity: min/max >= t
+            good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & apart(own, others)
+            if not good.any():
+                continue
+            same = (low[own][:, None, :] == low[others][None, :, :]).view(np.uint64)
+            good &= np.bitwise_count(same).sum(axis=2) >= need[0]
+            i, j = np.nonzero(good)
+            i, j, seen = own[i], others[j], np.zeros(len(i), np.int64)
+            for b, least in enumerate(need):
+                if not len(i):
+                    break
+                cut = slice(b * BATCH, (b + 1) * BATCH)
+                seen += (sig[i, cut] == sig[j, cut]).sum(axis=1)
+                keep = seen >= least
+                i, j, seen = i[keep], j[keep], seen[keep]
+            out.append((i, j, seen))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _first_band(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Whether `band` is the first that a pair shares; so a pair is judged in one bucket only."""
+    own = int(np.flatnonzero(band_keys(sig[i[0]]).view(np.int64) == band)[0])
+    same = (sig[i].reshape(len(i), -1, ROWS) == sig[j].reshape(len(j), -1, ROWS)).all(axis=2)
+    return same.argmax(axis=1) == own
+
+
+def _confirmed(raw: np.ndarray, off: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, seen: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similarity >= percent/100 on the full sets, likeliest first; two components that pairs before have joined
+    are not joined again."""
+    bits = _bits(raw, off, np.unique(np.concatenate([i, j]))) if len(i) >= 64 else None
+    order = np.argsort(-seen, kind="stable")
+    if bits is not None:
+        row, table, size = bits
+        keep, step = [], max(1, BLOCK_BYTES // (8 * table.shape[1] + 1))
+        for at in range(0, len(order), step):
+            q = order[at : at + step]
+            x, y = row[i[q]], row[j[q]]
+            both = np.bitwise_count(table[x] & table[y]).sum(axis=1, dtype=np.int64)
+            keep.append(q[100 * both >= percent * (size[x] + size[y] - both)])
+        order = np.concatenate(keep)
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for q in order:
+        a, b = find(tuple(comp[i[q]])), find(tuple(comp[j[q]]))
+        if a == b:
+            continue
+        if bits is None:
+            x, y = (raw[off[p] : off[p + 1]].view(np.uint64) for p in (i[q], j[q]))
+            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[place] == y).sum())
+            if 100 * both < percent * (len(x) + len(y) - both):
+                continue
+        root[a] = b
+        out.append((i[q], j[q]))
+    return out
+
+
+def _bits(raw: np.ndarray, off: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(row of each member, sets as bits over the shingles that two or more members have, set sizes); None if too large."""
+    sets = [raw[off[p] : off[p + 1]].view(np.uint64) for p in members]
+    size = np.array([len(x) for x in sets])
+    every, of, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n > 1)
+    width = max(1, -(-len(shared) // 64))
+    if 8 * width * len(members) > 4 * BLOCK_BYTES:
+        return None
+    place = np.full(len(every), -1, np.int64)
+    place[shared] = np.arange(len(shared))
+    at, owner = place[of.ravel()], np.repeat(np.arange(len(members)), size)
+    owner, at = owner[at >= 0], at[at >= 0]
+    table = np.zeros((len(members), width), np.uint64)
+    np.bitwise_or.at(table, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    row = np.zeros(int(members[-1]) + 1, np.int64)
+    row[members] = np.arange(len(members))
+    return row, table, size
+
+
+def _judge(percent: int, exact: bool):
+    """Over tiles of a bucket, sorted by (key, l, r): side 0 is left only, 1 right only, 2 both; `odd` marks left members.
+
+    Not exact: (key, node) of members with a likely partner of another component. Exact: links between components,
+    confirmed on the full sets; a component that a link has joined in the tile isn't compared with its own again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _by_run(batches, ["key", "l", "r"]):
+            node, comp = _pairs(table.column("node")), _pairs(table.column("comp"))
+            sig = tb.column_bytes(table.column("sig"))[0].view(np.uint32).reshape(-1, HASHES)
+            side, size = table.column("side").to_numpy(), table.column("size").to_numpy()
+            banded = not pa.types.is_binary(table.schema.field("key").type)
+            key = table.column("key").to_numpy() if banded else None
+            names = table.column("comp") if exact else table.column("node")
+            raw, off = tb.column_bytes(table.column("shingles")) if exact else (None, None)
+            found: list = []
+
+            def apart(a: np.ndarray, b: np.ndarray, node=node, comp=comp, side=side) -> np.ndarray:
+                differ = (comp[a][:, None] != comp[b][None]).any(axis=2)
+                x, y = node[a][:, None], node[b][None]
+                later = (y[..., 0] > x[..., 0]) | (y[..., 0] == x[..., 0]) & (y[..., 1] > x[..., 1])
+                return differ & (later | (side[b] == 1)[None])
+
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                at = np.arange(s, e)
+                left, right = at[np.isin(side[s:e], (0, 2))], at[np.isin(side[s:e], (1, 2, 3))]
+                i, j, seen = _likely(sig, size, left, right, apart, percent)
+                if banded and len(i):
+                    keep = _first_band(sig, i, j, int(key[s]))
+                    i, j, seen = i[keep], j[keep], seen[keep]
+                if not len(i):
+                    continue
+                if not exact:
+                    found.append(np.unique(np.concatenate([i, j])))
+                    continue
+                found += _confirmed(raw, off, comp, i, j, seen, percent)
+            if exact:
+                cols = [names.take(pa.array([f[k] for f in found], pa.int64())).combine_chunks() for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
+            else:
+                at = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([table.column("key").take(at).combine_chunks(), names.take(at).combine_chunks()], ["key", "node"])
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs: block, side, node, comp, size. Large right sides are cut by bytes; left sides go along to every cut."""
-    cuts = pairs.where("side = 1").groupBy("block").agg(F.ceil(F.sum("size") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("cuts"))
-    dealt = pairs.join(cuts, "block").withColumn("cut", F.explode(F.expr("case when side = 0 then sequence(0, cuts - 1) else array(cast(pmod(xxhash64(node), cuts) as int)) end")))
-    return dealt.select("block", "cut", "side", "node", "comp").join(sets, "node").groupBy("block", "cut").applyInPandas(_compare(percent), "a binary, b binary")
+def _tiles(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """Members (key, node, comp, size, odd) of buckets, dealt to tiles (l, r) whose left and right sides weigh at most about
+    `most`: odd members against all. A bucket that fits in one tile goes there once, so rows grow with the members."""
+    sums = members.groupBy("key").agg(F.sum(weight).alias("whole"), F.sum(F.when(F.col("odd"), F.col(weight)).otherwise(0)).alias("part"))
+    cuts = sums.select("key", F.ceil(F.col("part") / most).cast("int").alias("ls"), F.ceil(F.col("whole") / most).cast("int").alias("rs"))
+    dealt = members.join(cuts, "key").withColumn("h", F.xxhash64("node"))
+    one = "array(named_struct('l', 0, 'r', 0, 'side', case when odd then 2 else 1 end))"
+    own_l, own_r = "cast(pmod(h, ls) as int)", "cast(pmod(h, rs) as int)"
+    lefts = f"case when odd then transform(sequence(0, rs - 1), x -> named_struct('l', {own_l}, 'r', x, 'side', 0)) else array() end"
+    rights = f"transform(sequence(0, ls - 1), x -> named_struct('l', x, 'r', {own_r}, 'side', case when odd then 3 else 1 end))"
+    dealt = dealt.where("ls > 0").withColumn("t", F.explode(F.expr(f"case when ls = 1 and rs = 1 then {one} else concat({lefts}, {rights}) end")))
+    return dealt.select("key", "t.l", "t.r", "t.side", "node", "comp", "size")
+
+
+def _judged(tiles: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
+    key = tiles.schema["key"].dataType.simpleString()
+    rows = tiles.join(sets if exact else sets.drop("shingles"), "node").repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return rows.mapInArrow(_judge(percent, exact), "a binary, b binary" if exact else f"key {key}, node binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,59 +356,66 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # one text of each candidate node is read again for its whole set
     wanted = each.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
     wanted = wanted.select("node", F.col("lead.doc_id").alias("_id"), F.col("lead.text_key").alias("_key"))
-    again = docs.join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
+    again = docs.join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(again.mapInArrow(_sets(k), "node binary, sig binary, shingles binary"), "sets")
-    return _link(ids, shared, sets, percent)
+    comp = _link(shared, sets, percent)
+    named = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    out = materialize(named.select("doc_id", "mark", "n_shingles", "node", "comp", "component_id"), "named")
+    for done in (each, shared, sets, comp):
+        drop_table(spark, done)
+    return out
 
 
-def _link(ids: DataFrame, shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    spark = ids.sparkSession
-    star = shared.where("node <> hub").select(F.col("hub").alias("block"), "node", "size").distinct()
-    pairs = star.select("block", F.lit(1).alias("side"), "node", F.col("node").alias("comp"), "size").union(star.select("block", F.lit(0), F.col("block"), F.col("block"), F.lit(0).cast("long")).distinct())
-    links = materialize(_verify(pairs, sets, percent), "links")
-    comp = materialize(components(links), "components")
+def _link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of every node with a link, from buckets (band, node, size, hub)."""
+    spark = shared.sparkSession
+    star = shared.where("node <> hub").select(F.col("hub").alias("key"), "node", F.col("node").alias("comp"), "size", F.lit(False).alias("odd")).distinct()
+    hubs = shared.where("node = hub").select(F.col("node").alias("key"), "node", F.col("node").alias("comp"), "size", F.lit(True).alias("odd")).distinct()
+    stars = star.unionByName(hubs).withColumn("bytes", F.when(F.col("odd"), F.lit(1)).otherwise(F.col("size") * 8 + 1152))
+    links = materialize(_judged(_tiles(stars, "bytes", BLOCK_BYTES), sets, percent, True), "links")
+    comp = components(links)
 
-    # buckets of several components: all members of other components against those outside the largest one
-    held = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # buckets of several components: members outside the largest one against all of other components
+    held = shared.join(comp, "node", "left").select("band", "node", "size", F.coalesce("comp", "node").alias("comp"))
     parts = held.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = parts.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "top")
-    mixed = materialize(held.join(top, "band"), "mixed")
-    # the star's comparisons are complete for buckets of two single nodes
-    odd = mixed.where("comp <> top").groupBy("node").agg(F.min("hub").alias("home"))
-    homes = odd.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_LEFT)).alias("cuts"))
-    odd = odd.join(homes, "home").select("node", F.md5(F.concat(F.col("home"), F.expr("cast(cast(pmod(xxhash64(node), cuts) as string) as binary)"))).cast("binary").alias("block"))
-    left = mixed.where("comp <> top").join(odd, "node").select("band", "block", "node", "comp", "size")
-    right = left.select("band", "block").distinct().join(mixed.select("band", "node", "comp", "size"), "band").select("block", "node", "comp", "size").distinct()
-    pairs = right.select("block", F.lit(1).alias("side"), "node", "comp", "size").union(left.select("block", F.lit(0), "node", "comp", "size").distinct())
-    more = components(materialize(_verify(pairs, sets, percent), "links"))
-    final = comp.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    mixed = materialize(held.join(top, "band").select(F.col("band").alias("key"), "node", "comp", "size", (F.col("comp") != F.col("top")).alias("odd"), F.lit(1).alias("one")), "mixed")
+    likely = materialize(_judged(_tiles(mixed, "one", TILE_ROWS), sets, percent, False).distinct(), "likely")
+    rest = mixed.join(likely, ["key", "node"]).withColumn("bytes", F.col("size") * 8 + 1152)
+    more_links = materialize(_judged(_tiles(rest, "bytes", BLOCK_BYTES), sets, percent, True), "links")
+    more = components(more_links).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+    final = comp.join(more, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp"))
     # nodes that only the second search linked
-    final = final.union(more.join(comp, "node", "left_anti").select("node", "comp"))
-    named = ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id")).select("doc_id", "mark", "n_shingles", "node", "comp", "component_id")
+    alone = more.join(comp, more["comp"] == comp["node"], "left_anti").select(F.col("comp").alias("node"), F.col("joined").alias("comp"))
+    out = materialize(final.unionByName(alone), "linked")
+    for done in (links, mixed, likely, more_links, comp, more):
+        drop_table(spark, done)
+    return out
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each group of cluster(), with docs' columns: a row with the group's id.
 
     Of several rows with that id the one of least row hash stays, and of equal rows one. Rows without words are no
-    group and all stay. A group whose ids are all null keeps one row as well.
+    group and all stay. A group whose ids are all null keeps one row as well. Columns of any name survive.
     """
     key = F.xxhash64(*[docs[c] for c in docs.columns])
-    named = materialize(_named(docs.select("doc_id", "text", key.alias("mark")), k, percent).where("comp is not null"), "named")
+    named = _named(docs.select("doc_id", "text", key.alias("mark")), k, percent).where("comp is not null")
     first = named.where("doc_id <=> component_id").groupBy("comp").agg(F.min("mark").alias("first"))
     judged = named.join(first, "comp").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first")))
     again = judged.where("keep").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
     others = judged.where("not keep").select("doc_id", "mark").distinct()
-    rows = docs.withColumn("_mark", key)
+    own, of_id, of_mark = unused(docs, "own", "id", "mark")
+    rows = docs.withColumn(own, key)
 
     def those(keys: DataFrame, how: str) -> DataFrame:
-        own = keys.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_own"))
-        return rows.join(own, (F.col("_mark") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
+        named_keys = keys.select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark))
+        return rows.join(named_keys, (F.col(own) == F.col(of_mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)), how)
 
     again = materialize(again, "repeated")
     one_each = those(others.union(again), "left_anti").select(*docs.columns)
     if again.isEmpty():
         return one_each
-    return one_each.unionByName(those(again, "left_semi").dropDuplicates(["doc_id", "_mark"]).select(*docs.columns))
+    return one_each.unionByName(those(again, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns))

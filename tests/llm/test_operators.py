@@ -474,3 +474,63 @@ def test_sharding(spark, docs, none):
 
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_near_dedup_of_one_large_group_of_near_copies(spark):
+    """700 near copies around and below the threshold, whose buckets have different hubs: as all pairs, and in tiles."""
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for k in range(700):
+        copy = list(base)
+        for _ in range(1 + k % 3):
+            copy[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 5) for t in texts]
+    held = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in held[x] if j > i).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.cluster(docs).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_near_dedup_in_small_tiles(spark, monkeypatch):
+    """Buckets cut into many tiles give the same groups."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(300):
+        copy = [f"w{i}" for i in range(40)]
+        for _ in range(1 + k % 4):
+            copy[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(near_dedup.cluster(docs, k=2).collect())
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 20_000)
+    assert sorted(near_dedup.cluster(docs, k=2).collect()) == want
+
+
+def test_helper_names_do_not_clash(spark):
+    names = ["doc_id", "text", "source", "_mark", "_own", "_copy", "_copies", "_id", "own", "id", "mark", "OF", "copies"]
+    rows = [(i, f"some words of text number {i // 2} in a row", "s", *(f"{n}{i}" for n in names[3:])) for i in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    known = {tuple(r) for r in rows}
+    for out in (near_dedup.representatives(docs), mixing.mixed(docs), near_dedup.representatives(docs.union(docs))):
+        assert out.columns == names
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= known
