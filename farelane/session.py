@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,10 @@ def build(app: str = "farelane", master: str | None = None, **conf: str) -> Spar
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in a local temp folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="farelane-")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); on a local master where that is unset, in a temp folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="farelane-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
