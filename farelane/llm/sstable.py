@@ -24,7 +24,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,77 +32,16 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from farelane.llm.common import materialize, shared_dir
+from farelane.llm.encoding import encoder
 
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 64 << 10
 MAGIC, VERSION = 0x53535446, 1
 FOOTER = struct.Struct("<8Q")
-CACHE = 600_000
-
-
-# ---- tokenising ------------------------------------------------------------------------------------------------
-class Encoder:
-    """ids of whole texts by a tokenizers file; equal to encoding each text at once.
-
-    A byte-level tokenizer splits a text into words, each with the space before it, numbers, runs of other signs and
-    white space, and encodes these by themselves. So a text of common characters whose spaces stand alone is cut before
-    each space and line end and, if they only follow letters or digits, before full stops and commas; each different
-    piece is encoded once and remembered, in two generations of at most CACHE pieces. Other texts are encoded whole.
-    """
-
-    LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and (c < "\x80" or c >= "À"))
-    COMMON = LETTERS | frozenset(map(chr, range(0x20, 0x7F))) | {"\n"}
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        kind = repr(self.own.pre_tokenizer)
-        self.cuts = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind and self.own.normalizer is None
-        self.width, self.code = (np.uint16, "H") if self.own.get_vocab_size() <= 65536 else (np.uint32, "I")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        chars = set(text)
-        if not self.cuts or not chars <= self.COMMON or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-            return []
-        marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
-        signs = chars - self.LETTERS
-        if text[:1] not in ".," and not any(c + "." in text or c + "," in text for c in signs):
-            marked = marked.replace(".", "\0.").replace(",", "\0,")
-        return marked.split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, self.width bytes each, in native order."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        cut = [self.pieces(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update({*pieces}.difference(self.known))
-        for piece in new & self.older.keys():
-            self.known[piece] = self.older[piece]
-        fresh = list(new - self.older.keys())
-        for piece, e in zip(fresh, self.own.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = array(self.code, e.ids).tobytes()
-        of = self.known.__getitem__
-        return [b"".join(map(of, p)) if p else array(self.code, self.own.encode(t, add_special_tokens=False).ids).tobytes() for t, p in zip(texts, cut, strict=True)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+GROUP = 1024
 
 
 # ---- the file format -------------------------------------------------------------------------------------------
@@ -246,13 +184,14 @@ def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         writer, place, path, out, last, again, first = None, None, "", None, None, 0, None
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.width).tobytes()
         shard = -1
         for batch in batches:
             ids, marks, shards = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("shard")
-            for i in range(0, len(ids), 256):
-                texts = batch.column("text").slice(i, 256).to_pylist()
-                for q, coded in enumerate(enc.encode([x or "" for x in texts]), i):
+            for i, j, tokens, bounds in enc.encode(batch.column("text")):
+                # the end id after each text
+                tokens = np.insert(tokens, bounds[1:], np.array(end_id, tokens.dtype))
+                bounds = bounds + np.arange(len(bounds))
+                for q in range(i, j):
                     if writer is None:
                         place, root = pafs.FileSystem.from_uri(folder)
                         shard = shards[0].as_py()
@@ -262,7 +201,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                     key = id_key(ids[q]) + ((marks[q] & 0xFFFFFFFFFFFFFFFF) ^ (1 << 63)).to_bytes(8, "big")
                     again = again + 1 if key == last else 0
                     last = key
-                    writer.add(key + again.to_bytes(4, "big"), np.frombuffer(coded + end, enc.width))
+                    writer.add(key + again.to_bytes(4, "big"), tokens[bounds[q - i] : bounds[q - i + 1]])
         if writer is not None:
             writer.close()
             out.close()
@@ -309,17 +248,22 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("mark"))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("mark")).withColumn("shard", F.spark_partition_id())
     done = materialize(ranged.mapInArrow(_write(folder, tokenizer, end_id), "shard int, file string, first_id long, entries long, tokens long"), "manifest")
-    shards = sorted(done.collect(), key=lambda r: r["shard"])
-    at, out = 0, []
-    for r in shards:
-        out.append((*r, at))
-        at += r["tokens"]
-    return spark.createDataFrame(out, "shard int, file string, first_id long, entries long, tokens long, start long")
+    return _offsets(done)
+
+
+def _offsets(shards: DataFrame) -> DataFrame:
+    """shards with `start`, the tokens of all shards before: sums within groups of GROUP shards, then over the groups."""
+    grouped = shards.withColumn("group", F.floor(F.col("shard") / GROUP))
+    sums = grouped.groupBy("group").agg(F.sum("tokens").alias("all"))
+    before = sums.select(F.col("group").alias("of"), (F.sum("all").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, 0)) - F.col("all")).alias("before"))
+    within = F.sum("tokens").over(W.partitionBy("group").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
+    out = grouped.withColumn("within", within).join(before, F.col("group") == F.col("of"))
+    return out.select("shard", "file", "first_id", "entries", "tokens", (F.col("before") + F.col("within")).alias("start"))
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    files = manifest.repartition(max(1, manifest.count()), "shard")
+    files = manifest.repartitionByRange(max(1, manifest.count()), "shard")  # one shard a task
     return files.mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -61,12 +61,28 @@ def _words(raw: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.ndarray,
     at = np.flatnonzero(word)
     offset = np.searchsorted(at, start)
     size = np.diff(offset, append=len(at))
-    place = at - np.repeat(start, size)
-    byte = (LOWER[raw] if lower else raw)[at].astype(np.int64)
-    code = _TABLE[np.minimum(place, _HEAD - 1) * 256 + byte]
+    return start, size, _hashes((LOWER[raw] if lower else raw)[at], at - np.repeat(start, size), offset)
+
+
+def _hashes(byte: np.ndarray, place: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes that begins at offset; place is a byte's distance from its span's begin."""
+    code = _TABLE[np.minimum(place, _HEAD - 1) * 256 + byte.astype(np.int64)]
     if (far := np.flatnonzero(place >= _HEAD)).size:
         code[far] = mix((place[far].astype(np.uint64) << np.uint64(9)) + byte[far].astype(np.uint64))
-    return start, size, mix(np.add.reduceat(code, offset))
+    return mix(np.add.reduceat(code, offset))
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each of the ascending non-empty spans (start, size), by blocks; the size counts too."""
+    out, i = np.empty(len(start), np.uint64), 0
+    ends = np.cumsum(size)
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")))
+        offset = ends[i:j] - size[i:j] - (ends[i] - size[i])
+        at = np.arange(int(size[i:j].sum())) + np.repeat(start[i:j] - offset, size[i:j])
+        out[i:j] = _hashes(raw[at], at - np.repeat(start[i:j], size[i:j]), offset)
+        i = j
+    return mix(out + size.astype(np.uint64))
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

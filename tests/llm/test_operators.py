@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from farelane.llm import decontam, licenses, maxent, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
+from farelane.llm import decontam, encoding, licenses, maxent, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
 from farelane.llm import textbytes as tb
 from farelane.llm.queries import ORACLES, QUERIES, tokenizer_path
 
@@ -252,11 +252,41 @@ def test_licences(docs, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+ODD_TEXTS = [
+    "one <|endoftext|> two", "<|endoftext|>", "a  b  c", "x\n\ny \n z\n", "\n\n", "  ", "\nA", "a\n", "don't we'll it's' 'quoted' a's,b", "é,è. a1b2,3", "a\tb\r\nc",
+    "名前 です。 x　y", "a\u00a0  b", "a.b.c...d,,e\x1cf g", "\n a\n b", " lone", "$5.00, (x)!", "’tis ’s",
+]
+
+
+def test_encoding_equals_that_of_whole_texts(monkeypatch):
+    """Any mix of signs, letters and white space; blocks and memory as small as they go."""
+    from tokenizers import Tokenizer
+
+    own, rng = Tokenizer.from_file(tokenizer_path()), random.Random(1)
+    signs = [" ", "\n", ".", ",", "a", "B", "7", "é", "'s", "'", "\t", "ß", "名", "-", "  ", "\r", "\u2003", "\x85"]
+    texts = [*ODD_TEXTS, None, "", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000))]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for block, cache in ((encoding.BLOCK, encoding.CACHE), (300, 50)):
+        monkeypatch.setattr(encoding, "BLOCK", block)
+        monkeypatch.setattr(encoding, "CACHE", cache)
+        enc, got = encoding.Encoder(tokenizer_path()), []
+        for i, j, ids, bounds in enc.encode(pa.array(texts)):
+            got += [ids[bounds[q] : bounds[q + 1]].tolist() for q in range(j - i)]
+        assert got == want
+
+
+def test_offsets_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "GROUP", 4)
+    rows = [(k, f"f{k}", k, 1, 10 + k) for k in range(23)]
+    got = sstable._offsets(spark.createDataFrame(rows, "shard int, file string, first_id long, entries long, tokens long")).collect()
+    assert {r["shard"]: r["start"] for r in got} == {k: sum(10 + q for q in range(k)) for k in range(23)}
+
+
 def test_token_shards_round_trip(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string"), allowMissingColumns=True)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     texts.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
     ids = [(r["doc_id"], own.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in texts]
@@ -429,7 +459,7 @@ def test_mixing(docs, none):
     assert Counter((r["doc_id"], r["size"], r["source_size"]) for r in got) == Counter((i, len(words(t)), sizes[s]) for i, t, _, s, *_ in rows)
     assert all(r["taken"] in (0, r["size"], 2 * r["size"]) and r["target"] == pytest.approx(want[r["source"]]) for r in got)
     for s in sizes:
-        # at most one document is left to chance
+        # at most one row is left to chance, of equal ones too
         assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= max(r["size"] for r in got if r["source"] == s)
     again = mixing.taken(docs.repartition(2)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
@@ -438,6 +468,15 @@ def test_mixing(docs, none):
     assert mixing.taken(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_deals_equal_rows_by_number(spark):
+    """A row repeated 1,000 times in its source is taken as often as the source wants, not all or none."""
+    for seed in range(4):
+        rows = [(1, "w " * 100, f"s{seed}")] * 1000 + [(i, "w " * 100, f"s{seed}") for i in range(2, 6)] + [(9, "v " * 300_000, f"t{seed}")]
+        out = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        got = out.where(F.col("source") == f"s{seed}").agg(F.sum("taken"), F.max("target"), F.count(F.lit(1)), F.max("copies")).first()
+        assert abs(got[0] - got[1]) <= 100 and got[2] == 1004 and got[3] <= 2
+
+
 def test_targets_share_the_excess():
     got = mixing.targets({"a": 100, "b": 1000, "c": 1000, None: 10})
     assert got["a"] == 200 and got[None] == 20 and got["b"] == pytest.approx((3165 - 220) * 2 / 3) and mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
@@ -449,11 +488,12 @@ def test_pivot_keeps_expectations_and_mass():
     taken, mean = [], np.zeros(9)
     for seed in range(400):
         mark = tb.mix(np.arange(9, dtype=np.uint64) + np.uint64(1000 * seed)).view(np.int64)
-        g = pd.DataFrame({"doc_id": range(9), "source": "s", "mark": mark, "size": [50, 40, 30, 25, 20, 10, 5, 3, 1], "repeats": 1, "whole": 0, "p": 0.37, "copies": pd.array([None] * 9, "Int32")})
+        g = pd.DataFrame({"doc_id": range(9), "source": "s", "mark": mark, "size": [50, 40, 30, 25, 20, 10, 5, 3, 1], "repeats": 1, "whole": 0, "p": 0.37, "open": 0.37, "copies": 0, "extra": 0})
         out = mixing.pivot(g, True).sort_values("doc_id")
-        mean += out.copies.to_numpy(int) / 400
-        taken.append((out.copies * out["size"]).sum())
-    assert np.abs(mean - 0.37).max() < 0.11 and np.mean(taken) == pytest.approx(0.37 * 184, rel=0.05) and np.std(taken) < 20
+        mean += out.extra.to_numpy(int) / 400
+        taken.append((out.extra * out["size"]).sum())
+        assert set(out.extra) <= {0, 1} and abs(taken[-1] - 0.37 * 184) <= 50
+    assert np.abs(mean - 0.37).max() < 0.11 and np.mean(taken) == pytest.approx(0.37 * 184, rel=0.05) and np.std(taken) < 25
 
 
 def test_sharding(spark, docs, none):
@@ -466,9 +506,27 @@ def test_sharding(spark, docs, none):
         rows = sharding.assign(many, n).select("shard", "grown_shard").collect()
         assert {r["grown_shard"] for r in rows if r["grown_shard"] != r["shard"]} == {n}
         assert sum(r["grown_shard"] == n for r in rows) == pytest.approx(20000 / (n + 1), rel=0.2)
-    heavy = {r["doc_id"]: r["shard"] for r in sharding.assign(many, 24, {7: 3.0}).collect()}
-    plain = {r["doc_id"]: r["shard"] for r in sharding.assign(many, 24).collect()}
-    assert {heavy[i] for i in plain if heavy[i] != plain[i]} == {7}
+    heavy = {r["doc_id"]: r for r in sharding.assign(many, 24, {7: 3.0}).collect()}
+    plain = {r["doc_id"]: r for r in sharding.assign(many, 24).collect()}
+    moved = [i for i in plain if heavy[i]["shard"] != plain[i]["shard"]]
+    for i in moved:  # into the heavier region, within it into the heavier rack, within that into the heavier shard
+        assert heavy[i]["region"] == 0
+        assert plain[i]["region"] == 1 or heavy[i]["rack"] == 1 and (plain[i]["rack"] != 1 or heavy[i]["shard"] == 7)
+    share = Counter(r["shard"] for r in heavy.values())
+    assert share[7] == pytest.approx(20000 * 3 / 26, rel=0.1) and share[0] == pytest.approx(20000 / 26, rel=0.15)
+    # against a flat weighted hash of all shards, which moves the fewest rows
+    flat = lambda w: [min(range(24), key=lambda s: -math.log((zlib.crc32(f"{i}/{s}".encode()) + 0.5) / 2**32) / w.get(s, 1.0)) for i in range(20000)]
+    fewest = sum(a != b for a, b in zip(flat({}), flat({7: 3.0}), strict=True))
+    assert 0.8 * fewest < len(moved) < 3 * fewest
+    # half the weight of a whole region: it gives rows up, keeps the others where they are, and the other region's stay
+    lighter = {r["doc_id"]: r for r in sharding.assign(many, 24, {s: 0.5 for s in range(12, 24)}).collect()}
+    assert all(lighter[i]["shard"] == plain[i]["shard"] for i in plain if plain[i]["region"] == lighter[i]["region"])
+    assert all(lighter[i]["region"] == 0 for i in plain if plain[i]["region"] == 0)
+    gone = {r["doc_id"]: r for r in sharding.assign(many, 24, {s: 0.0 for s in range(8, 12)}).collect()}
+    assert not {r["shard"] for r in gone.values()} & set(range(8, 12))
+    assert all(gone[i]["shard"] == plain[i]["shard"] for i in plain if plain[i]["region"] == 1)
+    same = spark.range(9000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    assert sorted(r["slot"] for r in sharding.assign(same).collect()) == list(range(9000))
     assert sharding.assign(none).count() == 0
 
 
