@@ -1,10 +1,11 @@
 """Hierarchical weighted hash tree: rows descend region, rack and shard levels by weighted hash draws.
 
-A shard's draw for a key is exponential with the shard's weight as rate, -ln(u)/weight with u hashed from key
-and shard. A rack's draw is the least draw of its shards and a region's the least of its racks: exponential as
-well, with the summed weight as rate. At each level the child with the least draw wins. As draws are shared along a path,
-a change of one shard's weight changes only draws in the subtrees that hold it: rows move into it when its
-weight grows or out of it when it falls, and nowhere else. All of it is built-in column arithmetic.
+A node's weight is the sum of its children's. At each level every child of the node that a key has reached draws for it:
+-ln(u)/weight with u hashed from key, level and child, an exponential draw with the child's weight as rate, and the least
+wins. A greater weight only lowers a child's own draws and a smaller one only raises them. So when a shard's weight
+changes, rows cross between its region and the others, between its rack and the others of its region, and between it
+and the others of its rack, always into the heavier side; all other subtrees keep their rows. One more shard is
+added as a region of its own, so it takes rows only into itself. All of it is built-in column arithmetic.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from farelane.llm.common import materialize
+
 RACK, REGION = 4, 3
 SLOT_ROWS = 2000
 
@@ -26,17 +29,39 @@ def topology(n: int, weights: dict[int, float] | None = None) -> list[list[list[
     return [racks[i : i + REGION] for i in range(0, len(racks), REGION)]
 
 
-def descend(key: Column, tree: list[list[list[tuple[int, float]]]]) -> Column:
-    """struct(draw, region, rack, shard) of the shard that a key belongs to."""
+def weight_of(node) -> float:
+    """Summed weight of a shard, rack or region."""
+    return float(node[1]) if isinstance(node, tuple) else sum(weight_of(x) for x in node)
+
+
+def draw(key: Column, level: str, node: int, weight: float) -> Column:
+    """Exponential draw of one node, with its weight as rate."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(node)), 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    return -F.log(u) / F.lit(weight)
+
+
+def least(key: Column, level: str, children: list[tuple[int, float]]) -> Column:
+    """struct(draw, node) of the child with the least draw."""
+    drawn = [F.struct(draw(key, level, i, w).alias("draw"), F.lit(i).alias("node")) for i, w in children if w > 0]
+    return F.least(*drawn) if len(drawn) > 1 else drawn[0]
+
 
-    def lowest(xs: list[Column]) -> Column:
-        return F.least(*xs) if len(xs) > 1 else xs[0]
+def descend(rows: DataFrame, key: str, tree: list[list[list[tuple[int, float]]]]) -> DataFrame:
+    """rows with region_draw, region, rack and shard of their key: a rack is drawn in the region, a shard in the rack."""
 
-    def leaf(region: int, rack: int, shard: int, weight: float) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
-        return F.struct((-F.log(u) / F.lit(float(weight))).alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(shard).alias("shard"))
+    def within(column: str, level: str, groups: list[list[tuple[int, float]]]) -> Column:
+        out = F
+        for i, group in enumerate(groups):
+            if any(w > 0 for _, w in group):
+                out = out.when(F.col(column) == i, least(F.col(key), level, group)["node"])
+        return out
 
-    return lowest([lowest([lowest([leaf(i, j, s, w) for s, w in rack if w > 0]) for j, rack in enumerate(region)]) for i, region in enumerate(tree)])
+    racks = [rack for region in tree for rack in region]
+    number = iter(range(len(racks)))
+    in_region = [[(next(number), weight_of(rack)) for rack in region] for region in tree]
+    top = least(F.col(key), "region", [(i, weight_of(region)) for i, region in enumerate(tree)])
+    rows = rows.withColumn("top", top).withColumns({"region_draw": F.col("top.draw"), "region": F.col("top.node")}).drop("top")
+    return rows.withColumn("rack", within("region", "rack", in_region)).withColumn("shard", within("rack", "shard", racks))
 
 
 def assign(docs: DataFrame, n: int = 24, weights: dict[int, float] | None = None) -> DataFrame:
@@ -44,17 +69,24 @@ def assign(docs: DataFrame, n: int = 24, weights: dict[int, float] | None = None
 
     size is the text's UTF-8 bytes plus 8 and a null text counts as empty; null ids share one key. Equal ids go to one
     shard. Slots are gapless from 0 in each shard: a shard's rows are numbered in buckets of about SLOT_ROWS,
-    and a bucket starts where the ones before it end, so no task holds a whole shard. Repeated rows get one slot each;
+    and a bucket starts where the ones before it end, so no task holds a whole shard. Repeated rows are counted before the
+    numbering and get one slot each, so any number of them is one row of a bucket;
     an empty table gives an empty result; extra columns are ignored.
     """
-    path, grown = descend(F.col("doc_id"), topology(n, weights)), descend(F.col("doc_id"), topology(n + 1, weights))
-    buckets = max(1, math.ceil(docs.select("doc_id").count() / (n * SLOT_ROWS)))
+    total = max(1, docs.select("doc_id").count())
+    buckets = max(1, math.ceil(total / (n * SLOT_ROWS)))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumns({"path": path, "grown_shard": grown["shard"], "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(buckets))})
-    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("path.shard").alias("shard"), "grown_shard", F.col("path.region").alias("region"), F.col("path.rack").alias("rack"), "bucket")
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    within = W.partitionBy("shard", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
-    out = rows.withColumn("at", F.row_number().over(within)).join(before, ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("before") + F.col("at") - 1).alias("slot"), "grown_shard", "region", "rack")
+    # rows of equal id and text are told apart by nothing: they are counted, and numbered where they come together
+    kinds = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    tree = topology(n, weights)
+    kinds = descend(kinds, "doc_id", tree)
+    one_more = draw(F.col("doc_id"), "region", len(tree), 1.0)
+    kinds = kinds.withColumn("grown_shard", F.when(one_more < F.col("region_draw"), n).otherwise(F.col("shard"))).drop("region_draw")
+    kinds = materialize(kinds.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(buckets))), "kinds")
+    counts = kinds.groupBy("shard", "bucket").agg(F.sum("n").alias("all"))
+    before = counts.select("shard", "bucket", (F.sum("all").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("all")).alias("before"))
+    within = W.partitionBy("shard", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
+    out = kinds.withColumn("at", F.sum("n").over(within) - F.col("n")).join(before, ["shard", "bucket"])
+    out = out.withColumn("first", F.col("before") + F.col("at")).withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
