@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from farelane.session import scratch
+
 
 # ---- as-of joins ---------------------------------------------------------------------------------------------------
 def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, keep: list[str], how: str = "backward", prefix: str = "asof_") -> DataFrame:
@@ -31,11 +33,15 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
 
 
 def nearest_prefer_past(left: DataFrame, right: DataFrame, on: list[str], left_day: str, right_day: str) -> DataFrame:
-    """For each left row the right day nearest before or at left_day, else the nearest after, else null. Right has few days for a key."""
-    pairs = left.join(right.select(*on, F.col(right_day).alias("_d")).distinct(), on, "left")
-    ahead = F.col("_d") > F.col(left_day)
-    choice = F.when(F.col("_d").isNotNull(), F.struct(ahead.alias("f"), F.abs(F.datediff("_d", left_day)).alias("n"), F.col("_d").alias("d")))
-    return pairs.groupBy(*left.columns).agg(F.min(choice).alias("_b")).select(*left.columns, F.col("_b.d").alias(right_day))
+    """Every left row, repeated ones too, with the right day nearest before or at left_day, else the nearest after, else null.
+
+    Right's days of a key go along as one sorted array, so left is joined once and never grouped.
+    """
+    days = right.where(F.col(right_day).isNotNull()).groupBy(*on).agg(F.array_sort(F.collect_set(right_day)).alias("_days"))
+    past = F.element_at(F.filter("_days", lambda d: d <= F.col(left_day)), -1)
+    ahead = F.get(F.filter("_days", lambda d: d > F.col(left_day)), F.lit(0))
+    past = F.when(F.size(F.filter("_days", lambda d: d <= F.col(left_day))) > 0, past)
+    return left.join(days, on, "left").select(*left.columns, F.coalesce(past, ahead).alias(right_day))
 
 
 # ---- interval joins ------------------------------------------------------------------------------------------------
@@ -81,6 +87,19 @@ def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its place (from 1) in a total order of all rows, in several tasks: rows are dealt by range and sorted there, and each
+    range starts where the ones before it end."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = scratch(df.sparkSession, "numbered")  # written, as another run might draw other ranges
+    at.write.parquet(path)
+    at = df.sparkSession.read.parquet(path)
+    sizes = at.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
+    before = sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return at.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_of", "_at", "_before")
+
+
 def top_per(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 

@@ -30,7 +30,14 @@ def _views(epoch: str, epoch_of: str) -> dict[str, str]:
         "shape": "SELECT r_regionkey AS k, -3.8e0 + 0.025e0 * r_regionkey AS lat, -38.55e0 + 0.01e0 * r_regionkey + 0.002e0 * (r_regionkey % 2) AS lon FROM region",
         "dictionary": "SELECT s_suppkey AS entry, s_name AS raw_code, CASE WHEN s_suppkey % 10 = 0 THEN 'none' ELSE concat(CAST(s_suppkey AS VARCHAR(20)), CASE WHEN s_suppkey % 3 = 0 THEN 'v' WHEN s_suppkey % 3 = 1 THEN ' - off' ELSE '' END) END AS code, s_nationkey AS source FROM supplier",
         "gtfs_times": "SELECT event_id, concat(lpad(CAST(event_id % 31 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST(event_id % 60 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST(event_id * 7 % 60 AS VARCHAR(20)), 2, '0')) AS clock, user_id % 40 AS route FROM events",
-        "feeds": "SELECT DISTINCT left(o_orderpriority, 1) AS route, CAST(o_orderdate AS DATE) AS feed_date FROM orders WHERE o_orderkey % 97 = 0",
+        "feeds": "SELECT DISTINCT left(o_orderpriority, 1) AS route, CAST(o_orderdate AS DATE) AS feed_date FROM orders",
+        # about eight candidate devices for each bus on twelve dates; device numbers lie near the bus's
+        "candidates": "SELECT lpad(CAST(b AS VARCHAR(20)), 5, '0') AS bus_id, make_date(2023, 11, CAST(d + 1 AS INT)) AS date, concat('ep', lpad(CAST(dev AS VARCHAR(20)), 6, '0')) AS device_id, "
+        "CASE WHEN (b + dev) % 37 = 0 THEN NULL ELSE (n * 7 + dev * 3) % 11 / 10e0 END AS score, (b + dev) % 3 <> 0 AS is_model_score, n_dictionary, b % 7 = 0 AS dictionary_conflict, (b * 31 + d * 17 + dev * 7) % 23 AS h "
+        "FROM (SELECT l_suppkey AS b, l_orderkey % 12 AS d, l_suppkey + l_partkey % 8 AS dev, count(*) AS n, max(CASE WHEN l_linenumber = 7 THEN 2 WHEN l_linenumber = 6 THEN 1 ELSE 0 END) AS n_dictionary FROM lineitem GROUP BY l_suppkey, l_orderkey % 12, l_suppkey + l_partkey % 8) c0",
+        "votes": "SELECT bus_id, date, CASE WHEN h = 1 THEN NULL ELSE device_id END AS device_id, CASE h WHEN 0 THEN 'match' WHEN 1 THEN 'none_of_these' ELSE 'unsure' END AS decision FROM candidates WHERE h < 3",
+        # one device a bus and day, one bus a device and day
+        "assigned": "SELECT bus_id, date, device_id FROM (SELECT *, row_number() OVER (PARTITION BY bus_id, date ORDER BY s DESC, device_id) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY device_id, date ORDER BY s DESC, bus_id) AS r1 FROM (SELECT *, coalesce(score, 0e0) + CASE WHEN h % 5 = 0 THEN 0e0 ELSE (CAST(right(bus_id, 2) AS INT) + CAST(right(device_id, 2) AS INT)) % 4 END AS s FROM candidates) a0) a1 WHERE r1 = 1) a2 WHERE r2 = 1",
     }
 
 
@@ -55,7 +62,11 @@ def view(spark: SparkSession, name: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """sql with the views that it names in front as common table expressions."""
-    used = [v for v in DUCK_VIEWS if re.search(rf"\b{v}\b", sql)]
+    used, text = [], sql
+    for v in reversed(DUCK_VIEWS):  # views build on earlier ones
+        if re.search(rf"\b{v}\b", text):
+            used.insert(0, v)
+            text += DUCK_VIEWS[v]
     heads = ", ".join(f"{v} AS ({DUCK_VIEWS[v]})" for v in used)
     if not heads:
         return sql

@@ -113,7 +113,14 @@ def _(spark: SparkSession) -> DataFrame:
 
 
 plain("f23_array_subscripts", "SELECT trip_id, element_at(a, 1) AS head, element_at(a, -1) AS tail, size(a) AS n FROM (SELECT trip_id, transform(array_sort(collect_list(struct(seq, stop_id))), e -> e.stop_id) AS a FROM taps GROUP BY trip_id) x", "SELECT trip_id, a[1] AS head, a[-1] AS tail, CAST(len(a) AS INT) AS n FROM (SELECT trip_id, list(stop_id ORDER BY seq, stop_id) AS a FROM taps GROUP BY trip_id) x")
-plain("f24_array_order", "SELECT trip_id, CAST(row_number() OVER (ORDER BY a, trip_id) AS BIGINT) AS place FROM (SELECT trip_id, transform(array_sort(collect_list(struct(seq, stop_id))), e -> e.stop_id) AS a FROM taps WHERE trip_id % 7 = 0 GROUP BY trip_id) x", "SELECT trip_id, row_number() OVER (ORDER BY a, trip_id) AS place FROM (SELECT trip_id, list(stop_id ORDER BY seq, stop_id) AS a FROM taps WHERE trip_id % 7 = 0 GROUP BY trip_id) x")
+
+
+@query("f24_array_order", "SELECT trip_id, row_number() OVER (ORDER BY a, trip_id) AS place FROM (SELECT trip_id, list(stop_id ORDER BY seq, stop_id) AS a FROM taps GROUP BY trip_id) x")
+def _(spark: SparkSession) -> DataFrame:
+    lists = spark.table("taps").groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop_id"))), lambda e: e.stop_id).alias("a"))
+    return R.numbered(lists, "place", "a", "trip_id").select("trip_id", "place")
+
+
 plain("f25_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 plain("f26_maps", "SELECT trip_id, element_at(m, 'bus') AS bus, element_at(m, 'state') AS state FROM (SELECT trip_id, map('bus', bus_id, 'state', status) AS m FROM trips) x", "SELECT trip_id, bus_id AS bus, status AS state FROM trips")
 
@@ -289,9 +296,9 @@ def _(spark: SparkSession) -> DataFrame:
     return s.select("trip_id", cx.alias("cx"), F.floor((F.col("opened") + (F.col("closed") - F.col("opened")) * F.col("i") / F.lit(10.0)) / 86400).alias("bucket")).distinct()
 
 
-@query("g27_fare_location", "WITH a AS (SELECT w.window_id, w.opened, w.device, p.ep AS t1, p.lat AS y1 FROM windows w ASOF LEFT JOIN (SELECT * FROM pings WHERE event_id % 3 <> 0) p ON p.device = w.device AND p.ep <= w.opened), b AS (SELECT a.*, p.ep AS t2, p.lat AS y2 FROM a ASOF LEFT JOIN (SELECT * FROM pings WHERE event_id % 3 <> 0) p ON p.device = a.device AND p.ep >= a.opened) SELECT window_id, round(CASE WHEN t1 = t2 THEN NULL ELSE y1 + (y2 - y1) * (opened - t1) / (t2 - t1) END, 9) AS lat FROM b")
+@query("g27_fare_location", "WITH a AS (SELECT w.window_id, w.opened, w.device, p.ep AS t1, p.lat AS y1 FROM windows w ASOF LEFT JOIN pings p ON p.device = w.device AND p.ep <= w.opened), b AS (SELECT a.*, p.ep AS t2, p.lat AS y2 FROM a ASOF LEFT JOIN pings p ON p.device = a.device AND p.ep >= a.opened) SELECT window_id, round(CASE WHEN t1 = t2 THEN NULL ELSE y1 + (y2 - y1) * (opened - t1) / (t2 - t1) END, 9) AS lat FROM b")
 def _(spark: SparkSession) -> DataFrame:
-    pings = spark.table("pings").where("event_id % 3 <> 0")
+    pings = spark.table("pings")
     one = R.asof(spark.table("windows"), pings, ["device"], "opened", "ep", ["lat"], prefix="a_")
     two = R.asof(one, pings, ["device"], "opened", "ep", ["lat"], "forward", prefix="b_")
     share = F.try_divide(F.col("opened") - F.col("a_time"), F.col("b_time") - F.col("a_time"))

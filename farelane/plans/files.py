@@ -85,6 +85,48 @@ def _(spark: SparkSession) -> DataFrame:
     return sinks.open_release(spark, root, "monthly")["trips"].agg(F.count(F.lit(1)).alias("n"), F.min("trip_id").alias("least"))
 
 
+@query("k04_create_and_insert", "SELECT route_id, count(*) AS n, CAST(NULL AS INT) AS direction FROM trips GROUP BY route_id UNION ALL SELECT NULL, count(*), direction FROM trips GROUP BY direction")
+def _(spark: SparkSession) -> DataFrame:
+    path = scratch(spark, "made")
+    sinks.create_as(spark.sql("SELECT route_id, count(*) AS n, CAST(NULL AS INT) AS direction FROM trips GROUP BY route_id"), path)
+    sinks.append(spark.sql("SELECT direction, count(*) AS n FROM trips GROUP BY direction"), path)
+    return spark.read.parquet(path)
+
+
+@query("k07_replace_all", "SELECT trip_id, status FROM trips WHERE status <> 'F'")
+def _(spark: SparkSession) -> DataFrame:
+    path = scratch(spark, "whole")
+    spark.table("trips").select("trip_id", "status").write.parquet(path)
+    sinks.replace_all(spark.read.parquet(path).where("status <> 'F'"), path)
+    return spark.read.parquet(path)
+
+
+@query("k08_generated_columns", "SELECT trip_id, seq, fare_cents / 100e0 AS fare, stop_id * 1000 + seq AS stop_key FROM taps")
+def _(spark: SparkSession) -> DataFrame:
+    path = scratch(spark, "generated")
+    sinks.create_as(sinks.with_generated(spark.table("taps").select("trip_id", "seq", "stop_id", "fare_cents"), fare="fare_cents / 100e0", stop_key="stop_id * 1000 + seq"), path)
+    return spark.read.parquet(path).select("trip_id", "seq", "fare", "stop_key")
+
+
+@query("k10_load_then_index", "SELECT 'route_id' AS col, count(*) AS n, count(*) FILTER (WHERE route_id IS NULL) AS nulls, min(route_id) AS least, max(route_id) AS most FROM trips UNION ALL SELECT 'trip_id', count(*), count(*) FILTER (WHERE trip_id IS NULL), CAST(min(trip_id) AS VARCHAR), CAST(max(trip_id) AS VARCHAR) FROM trips")
+def _(spark: SparkSession) -> DataFrame:
+    out = sinks.load_then_index(spark.table("trips"), scratch(spark, "indexed"), ["route_id"], ["trip_id"])
+    return out.select(F.col("column").alias("col"), "n", "nulls", "least", "most")
+
+
+@query("k12_comments", "SELECT * FROM (VALUES ('fare', 'taps: fare_cents / 100'), ('trip_id', 'orders: o_orderkey'), (NULL, 'one row for each fare')) AS v(col, comment)")
+def _(spark: SparkSession) -> DataFrame:
+    path = scratch(spark, "described")
+    made = sinks.create_as(spark.sql("SELECT trip_id, fare_cents / 100e0 AS fare FROM taps"), path, "one row for each fare", {"trip_id": "orders: o_orderkey", "fare": "taps: fare_cents / 100"})
+    return sinks.comments(made).withColumnRenamed("column", "col")
+
+
+@query("k13_copy_lines", "SELECT event_id, user_id, event_type FROM events")
+def _(spark: SparkSession) -> DataFrame:
+    lines = spark.sql("SELECT concat_ws(',', event_id, user_id, event_type) AS value FROM events")
+    return sinks.load_csv(spark, lines, "event_id long, user_id long, event_type string")
+
+
 def _stream(spark: SparkSession) -> DataFrame:
     path = scratch(spark, "stream")
     spark.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id").write.parquet(path)

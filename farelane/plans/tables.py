@@ -41,7 +41,7 @@ def _(spark: SparkSession) -> DataFrame:
 
 
 plain("d07_final_labels", "SELECT trip_id, is_valid, label_source FROM (SELECT trip_id, status = 'F' AS is_valid, 'human' AS label_source FROM trips WHERE trip_id % 50 = 0 UNION ALL SELECT trip_id, (trip_id * 7919 % 1000) / 1000e0 >= 0.8454e0 AS is_valid, 'model' AS label_source FROM trips WHERE trip_id % 50 <> 0) x")
-plain("d08_unmatched_devices", "SELECT s.entry, CASE WHEN c.k IS NULL THEN 'never_blocked' WHEN c.best < 5 THEN 'lost_competition' ELSE 'claimed' END AS reason FROM dictionary s LEFT JOIN (SELECT l_suppkey AS k, max(l_linenumber) AS best FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY l_suppkey) c ON c.k = s.entry")
+plain("d08_unmatched_devices", "SELECT s.entry, CASE WHEN c.k IS NULL THEN 'never_blocked' WHEN c.best < 7 THEN 'lost_competition' ELSE 'claimed' END AS reason FROM dictionary s LEFT JOIN (SELECT l_suppkey AS k, max(l_linenumber) AS best FROM lineitem GROUP BY l_suppkey) c ON c.k = s.entry")
 
 
 @query("d09_star_schema", "SELECT md5(concat_ws(chr(31), 'trip', bus_id, CAST(opened AS BIGINT)::VARCHAR, CAST(trip_id AS VARCHAR))) AS trip_key, md5(concat_ws(chr(31), 'bus', bus_id)) AS bus_key, left(bus_id, 2) AS company_code, CASE direction WHEN 0 THEN 'I' WHEN 1 THEN 'V' END AS direction, n AS fares FROM trips JOIN (SELECT trip_id AS id, count(*) AS n FROM taps GROUP BY trip_id) x ON id = trip_id")
@@ -67,62 +67,6 @@ def _(spark: SparkSession) -> DataFrame:
 
 plain("g21_pattern_variants", "SELECT route_id, kinds, n, CAST(row_number() OVER (PARTITION BY route_id ORDER BY n DESC, kinds) AS BIGINT) AS variant_id FROM (SELECT route_id, kinds, count(*) AS n FROM (SELECT t.trip_id, t.route_id, concat(min(x.kind), max(x.kind)) AS kinds FROM trips t JOIN taps x ON x.trip_id = t.trip_id GROUP BY t.trip_id, t.route_id) a GROUP BY route_id, kinds) b")
 
-# ---- matching ------------------------------------------------------------------------------------------------------
-_CAND = "SELECT lpad(CAST(l_suppkey AS VARCHAR(20)), 5, '0') AS bus_id, DATE '2023-11-01' + CAST(l_orderkey % 5 AS INT) AS date, concat('ep', CAST(l_partkey % 40 AS VARCHAR(20))) AS device_id, max(l_discount * 10) AS score, max(l_tax) > 0.06 AS temporal, max(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS n_dictionary FROM lineitem GROUP BY l_suppkey, l_orderkey % 5, l_partkey % 40"
-
-
-def candidates(spark: SparkSession) -> DataFrame:
-    return spark.sql(_CAND.replace("VARCHAR(20)", "STRING").replace("DATE '2023-11-01' + CAST(l_orderkey % 5 AS INT)", "date_add(DATE '2023-11-01', CAST(l_orderkey % 5 AS INT))"))
-
-
-def votes(spark: SparkSession) -> DataFrame:
-    c = candidates(spark).select("bus_id", "date", "device_id")
-    h = F.pmod(F.crc32(F.concat_ws("|", "bus_id", "date", "device_id").cast("binary")), F.lit(60))
-    return c.withColumn("decision", F.when(h == 0, "match").when(h == 1, "none_of_these").when(h == 2, "unsure")).where("decision is not null")
-
-
-@query("m04_beliefs")
-def _(spark: SparkSession) -> DataFrame:
-    return M.beliefs(candidates(spark), votes(spark)).withColumn("p", F.round("p", 9)).select("bus_id", "date", "device_id", "p")
-
-
-@query("m05_suppression")
-def _(spark: SparkSession) -> DataFrame:
-    return M.suppress(M.beliefs(candidates(spark), votes(spark))).withColumn("p", F.round("p", 9)).select("bus_id", "date", "device_id", "p")
-
-
-@query("m06_bus_date_summary")
-def _(spark: SparkSession) -> DataFrame:
-    return M.summary(M.suppress(M.beliefs(candidates(spark), votes(spark))))
-
-
-@query("m08_two_pass_support")
-def _(spark: SparkSession) -> DataFrame:
-    """Pairs resolved without temporal support get it in the second pass."""
-    c = candidates(spark)
-    first = M.summary(M.beliefs(c.withColumn("temporal", F.lit(False)), votes(spark))).where("resolved")
-    known = first.select("bus_id", F.col("top_device").alias("device_id"), F.lit(True).alias("confirmed")).distinct()
-    again = c.join(known, ["bus_id", "device_id"], "left").withColumn("temporal", F.coalesce("confirmed", F.lit(False)))
-    return M.summary(M.beliefs(again, votes(spark)))
-
-
-@query("m09_global_assignment")
-def _(spark: SparkSession) -> DataFrame:
-    return M.assign(M.beliefs(candidates(spark), votes(spark)).where("device_id is not null"))
-
-
-@query("m10_smoothing")
-def _(spark: SparkSession) -> DataFrame:
-    return M.smooth_devices(M.assign(M.beliefs(candidates(spark), votes(spark)).where("device_id is not null")).select("date", "bus_id", "device_id"))
-
-
-@query("m11_extension", "WITH i AS (SELECT l_suppkey AS bus_id, l_linenumber % 2 AS device_id, min(CAST(l_shipdate AS DATE)) AS start_date, max(CAST(l_shipdate AS DATE)) AS end_date FROM lineitem WHERE l_suppkey % 3 = 0 AND (l_suppkey % 2 = 0 OR l_linenumber = 1) AND l_orderkey % 50 = 0 GROUP BY 1, 2), r AS (SELECT l_suppkey AS bus_id, min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY 1), n AS (SELECT bus_id, count(DISTINCT device_id) AS n FROM i GROUP BY 1) SELECT i.bus_id, i.device_id, CASE WHEN n = 1 THEN least(start_date, first) ELSE start_date END AS start_date, CASE WHEN n = 1 THEN greatest(end_date, last) ELSE end_date END AS end_date FROM i JOIN r ON r.bus_id = i.bus_id JOIN n ON n.bus_id = i.bus_id")
-def _(spark: SparkSession) -> DataFrame:
-    x = spark.table("lineitem").select(F.col("l_suppkey").alias("bus_id"), (F.col("l_linenumber") % 2).alias("device_id"), F.to_date("l_shipdate").alias("date"), "l_linenumber", "l_orderkey")
-    i = x.where("bus_id % 3 = 0 and (bus_id % 2 = 0 or l_linenumber = 1) and l_orderkey % 50 = 0").groupBy("bus_id", "device_id").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"))
-    return M.extend_single(i, x.select("bus_id", "date"))
-
-
 plain("m12_candidate_blocking", "SELECT coalesce(b.bus, d.bus) AS bus, coalesce(b.dev, d.dev) AS dev, b.bus IS NOT NULL AS from_overlap, d.bus IS NOT NULL AS from_dictionary FROM (SELECT bus, dev FROM (SELECT bus, dev, row_number() OVER (PARTITION BY bus ORDER BY n DESC, dev) AS rn FROM (SELECT l_suppkey AS bus, l_partkey % 50 AS dev, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey % 50) x) y WHERE rn <= 10) b FULL JOIN (SELECT s_suppkey AS bus, CAST(s_nationkey AS BIGINT) AS dev FROM supplier) d ON d.bus = b.bus AND d.dev = b.dev")
 
 
@@ -130,13 +74,13 @@ plain("m12_candidate_blocking", "SELECT coalesce(b.bus, d.bus) AS bus, coalesce(
 def _(spark: SparkSession) -> DataFrame:
     t = spark.table("trips").select("trip_id", "bus_id", "route_id", "trip_date", "opened", "closed")
     other = t.select("route_id", "trip_date", F.col("bus_id").alias("rival"), F.col("opened").alias("o2"), F.col("closed").alias("c2"))
-    met = R.overlapping(t, other, ["route_id", "trip_date"], "opened", "closed", "o2", "c2", 1e9).where("rival <> bus_id")
+    met = R.overlapping(t, other, ["route_id", "trip_date"], "opened", "closed", "o2", "c2", 30 * 86400.0).where("rival <> bus_id")
     n = met.groupBy("trip_id").agg(F.countDistinct("rival").alias("rivals"))
     return t.select("trip_id").join(n, "trip_id", "left").na.fill(0, ["rivals"])
 
 
 plain("m14_pair_month_features", "SELECT bus, dev, n_days, round(mean_score, 6) AS mean_score, CAST(rank() OVER (PARTITION BY bus ORDER BY n_days DESC) AS BIGINT) AS bus_rank, CAST(rank() OVER (PARTITION BY dev ORDER BY n_days DESC) AS BIGINT) AS dev_rank, n_days = max(n_days) OVER (PARTITION BY bus) AND n_days = max(n_days) OVER (PARTITION BY dev) AS mutual_best FROM (SELECT l_suppkey AS bus, l_partkey % 50 AS dev, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days, avg(l_discount) AS mean_score FROM lineitem GROUP BY l_suppkey, l_partkey % 50) x")
-plain("m15_label_expansion", "WITH v AS (SELECT s_suppkey AS bus, CAST(s_nationkey AS BIGINT) AS dev, CASE s_suppkey % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' ELSE 'unsure' END AS verdict FROM supplier), c AS (SELECT DISTINCT l_suppkey AS bus, l_partkey % 25 AS dev FROM lineitem WHERE l_orderkey % 20 = 0) SELECT bus, dev, 1 AS label FROM v WHERE verdict = 'correct' UNION ALL SELECT c.bus, c.dev, 0 FROM c JOIN v ON v.bus = c.bus AND v.verdict = 'correct' AND v.dev <> c.dev UNION ALL SELECT bus, dev, 0 FROM v WHERE verdict = 'wrong'")
+plain("m15_label_expansion", "WITH v AS (SELECT s_suppkey AS bus, CAST(s_nationkey AS BIGINT) AS dev, CASE s_suppkey % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' ELSE 'unsure' END AS verdict FROM supplier), c AS (SELECT DISTINCT l_suppkey AS bus, l_partkey % 25 AS dev FROM lineitem) SELECT bus, dev, 1 AS label FROM v WHERE verdict = 'correct' UNION ALL SELECT c.bus, c.dev, 0 FROM c JOIN v ON v.bus = c.bus AND v.verdict = 'correct' AND v.dev <> c.dev UNION ALL SELECT bus, dev, 0 FROM v WHERE verdict = 'wrong'")
 
 
 @query("m17_group_folds", "SELECT bus_id, count(DISTINCT fold) AS folds FROM (SELECT bus_id, 0 AS fold FROM trips) x GROUP BY bus_id")
@@ -208,7 +152,7 @@ def _(spark: SparkSession) -> DataFrame:
     return spark.sql(_CLASS_ROWS).select("bus", M.final_class(c("excluded"), c("n"), c("hand"), c("unsure"), c("split"), c("single"), c("best")).alias("method"))
 
 
-plain("m24_unclaimed_reasons", "SELECT s_suppkey AS device, CASE WHEN b.k IS NULL THEN 'never_blocked' WHEN e.k IS NULL THEN 'only_excluded' ELSE 'lost_competition' END AS reason FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49) b ON b.k = s_suppkey LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A') e ON e.k = s_suppkey WHERE s_suppkey % 3 = 0")
+plain("m24_unclaimed_reasons", "SELECT s_suppkey AS device, CASE WHEN b.k IS NULL THEN 'never_blocked' WHEN e.k IS NULL THEN 'only_excluded' ELSE 'lost_competition' END AS reason FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49) b ON b.k = s_suppkey LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A') e ON e.k = s_suppkey")
 plain("m25_structural_exclusions", "SELECT DISTINCT t.bus_id FROM trips t LEFT JOIN (SELECT left(lpad(CAST(user_id AS VARCHAR(20)), 5, '0'), 4) AS co FROM events GROUP BY 1) e ON e.co = left(t.bus_id, 4) WHERE e.co IS NULL OR t.bus_id LIKE '0013%'", )
 plain("m26_audit_by_band", "SELECT CAST(floor(p * 10) AS INT) AS band, count(*) AS n, round(avg(y), 9) AS precision_share FROM (SELECT (event_id * 7919 % 1000) / 1000e0 AS p, CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS y FROM events) s GROUP BY CAST(floor(p * 10) AS INT)")
 plain("m27_crosswalk", "SELECT t.bus_id, coalesce(d.raw_code, v.raw_code) AS avl_id, CASE WHEN d.entry IS NOT NULL THEN 'device' WHEN v.entry IS NOT NULL THEN 'vehicle' END AS via FROM (SELECT DISTINCT bus_id FROM trips) t LEFT JOIN (SELECT * FROM dictionary WHERE entry % 2 = 0) d ON lpad(CAST(d.entry AS VARCHAR(20)), 5, '0') = t.bus_id LEFT JOIN (SELECT * FROM dictionary WHERE entry % 3 = 0) v ON lpad(CAST(v.entry AS VARCHAR(20)), 5, '0') = t.bus_id")
@@ -230,10 +174,10 @@ def _(spark: SparkSession) -> DataFrame:
 plain("m30_reconciliation", "SELECT t.trip_id, CASE WHEN x.n IS NULL THEN 'no_fares' WHEN t.closed < t.opened THEN 'reversed' WHEN x.first_tap < t.opened OR x.last_tap > t.closed THEN 'outside' ELSE 'consistent' END AS status FROM trips t LEFT JOIN (SELECT trip_id, count(*) AS n, min(tapped) AS first_tap, max(tapped) AS last_tap FROM taps GROUP BY trip_id) x ON x.trip_id = t.trip_id")
 
 
-@query("m31_boarding_assignment", "SELECT w.window_id, p.event_id AS ping FROM windows w ASOF LEFT JOIN (SELECT * FROM pings WHERE event_id % 3 <> 0) p ON p.device = w.device AND p.ep <= w.opened WHERE w.closed >= w.opened")
+@query("m31_boarding_assignment", "SELECT w.window_id, p.event_id AS ping FROM windows w ASOF LEFT JOIN pings p ON p.device = w.device AND p.ep <= w.opened WHERE w.closed >= w.opened")
 def _(spark: SparkSession) -> DataFrame:
     w = spark.table("windows").where("closed >= opened")
-    return R.asof(w, spark.table("pings").where("event_id % 3 <> 0"), ["device"], "opened", "ep", ["event_id"]).select("window_id", F.col("asof_event_id").alias("ping"))
+    return R.asof(w, spark.table("pings"), ["device"], "opened", "ep", ["event_id"]).select("window_id", F.col("asof_event_id").alias("ping"))
 
 
 plain("m33_learned_patterns", "SELECT stop_id, kind, n, round(n * 1e0 / total, 9) AS support FROM (SELECT stop_id, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY stop_id) AS total FROM taps GROUP BY stop_id, kind) x WHERE n * 1e0 / total >= 0.3e0")
@@ -251,12 +195,6 @@ def _(spark: SparkSession) -> DataFrame:
     return x.agg(F.count_if((F.col("ep") < F.col("opened")) | (F.col("ep") > F.col("closed"))).alias("outside"))
 
 
-@query("c04_one_bus_a_device", "SELECT CAST(0 AS BIGINT) AS doubled")
-def _(spark: SparkSession) -> DataFrame:
-    a = M.assign(M.beliefs(candidates(spark), votes(spark)).where("device_id is not null"))
-    return a.groupBy("date", "device_id").agg(F.countDistinct("bus_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("doubled"))
-
-
 plain("c05_one_bucket_a_bus", f"SELECT count(*) AS wrong FROM (SELECT bus, count(*) AS n FROM ({_CLASS_ROWS}) r GROUP BY bus) x WHERE n <> 1")
 plain("c06_subset_minimum", "SELECT count(*) AS wrong FROM (SELECT trip_id, min(fare_cents) AS whole, min(CASE WHEN kind = 'R' THEN fare_cents END) AS part FROM taps GROUP BY trip_id) x WHERE part < whole")
 plain("c07_accounting", "SELECT kind, count(*) AS records, count(*) FILTER (WHERE fare_cents > 0) AS accepted, count(*) FILTER (WHERE fare_cents <= 0) AS rejected, count(*) = count(*) FILTER (WHERE fare_cents > 0) + count(*) FILTER (WHERE fare_cents <= 0) AS balanced FROM taps GROUP BY kind")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelane.functions.scalars import all_present
+from farelane.sources import archives
 
 COLUMNS = ("direction", "latitude", "longitude", "metric_timestamp", "odometer", "route_code", "speed", "device_id", "vehicle_id")
 REQUIRED = tuple(c for c in COLUMNS if c not in ("latitude", "longitude"))
@@ -50,15 +50,15 @@ def month_of(folder: str) -> int | None:
     return found[0] if found else None
 
 
-def month_folder(root: str, year: int, month: int) -> str:
-    """The folder of a month under root/year; it must be one."""
-    base = os.path.join(root, str(year))
-    found = [d for d in sorted(os.listdir(base)) if os.path.isdir(os.path.join(base, d)) and month_of(d) == month]
+def month_folder(spark: SparkSession, root: str, year: int, month: int) -> str:
+    """The folder of a month under root/year, on any file system the session reads; it must be one."""
+    base = f"{root.rstrip('/')}/{year}"
+    found = [d for d in archives.folders(spark, base) if month_of(d.rstrip("/").rsplit("/", 1)[-1]) == month]
     if not found:
         raise FileNotFoundError(f"no folder of month {month} in {base}")
     if len(found) > 1:
         raise ValueError(f"several folders of month {month} in {base}: {found}")
-    return os.path.join(base, found[0])
+    return found[0]
 
 
 def monthly_file(name: str) -> tuple[int, int] | None:

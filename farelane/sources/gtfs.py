@@ -6,39 +6,33 @@ import csv
 import datetime as dt
 import io
 import re
-import zipfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farelane.sources import archives
+
 #: Columns read as dates of the form YYYYMMDD.
 DATES = {"calendar": ("start_date", "end_date"), "calendar_dates": ("date",)}
 #: Tables that may be taken from the nearest other export.
 SUBSTITUTED = ("calendar_dates", "stop_times")
-#: File names, tried in order: groups of day, month and year in some order. The last one has a two-digit year.
+#: File names of exports, tried in order. Fixed values.
 NAMES = (
-    (re.compile(r"(?P<y>\d{4})-?(?P<m>\d{2})-?(?P<d>\d{2})"), "{y}"),
-    (re.compile(r"(?P<d>\d{2})[-_.](?P<m>\d{2})[-_.](?P<y>\d{4})"), "{y}"),
-    (re.compile(r"(?P<d>\d{2})(?P<m>\d{2})(?P<y>\d{4})"), "{y}"),
-    (re.compile(r"(?P<d>\d{2})(?P<m>\d{2})(?P<y>\d{2})"), "20{y}"),
+    re.compile(r"exportacao_(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})\.zip$"),
+    re.compile(r"exportacao ?(?P<d>\d{2})(?P<m>\d{2})(?P<y>\d{4})\.zip$"),
+    re.compile(r"exportacao_(?P<d>\d{2})-(?P<m>\d{2})-(?P<y>\d{4})\.zip$"),
 )
-#: Years in file names that are known to be mistyped.
-TYPOS = {2818: 2018}
+#: Years of file names that are known to be mistyped.
+TYPOS = {"exportacao 05072818.zip": 2018}
 
 
 def export_date(name: str) -> dt.date | None:
-    """Date of an export by its file name; null if none can be read."""
-    for pattern, year in NAMES:
-        for m in pattern.finditer(name):
-            y = int(year.format(y=m["y"]))
-            try:
-                found = dt.date(TYPOS.get(y, y), int(m["m"]), int(m["d"]))
-            except ValueError:
-                continue
-            if 2005 <= found.year <= 2100:
-                return found
+    """Date of an export by its file name; null if it is none of an export."""
+    for pattern in NAMES:
+        if m := pattern.match(name):
+            return dt.date(TYPOS.get(name, int(m["y"])), int(m["m"]), int(m["d"]))
     return None
 
 
@@ -49,27 +43,26 @@ def nearest(target: dt.date, candidates: Sequence[tuple[dt.date, str]]) -> tuple
 
 def read_table(spark: SparkSession, path: str, table: str, columns: Sequence[str]) -> DataFrame:
     """One table of every export under path as text columns, with feed_version_date by file name; absent columns are null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     names = list(columns)
+    schema = pa.schema([*((c, pa.string()) for c in names), ("feed", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.string()) for c in names), ("feed", pa.string())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                day = export_date(row["path"].rsplit("/", 1)[-1])
-                with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
-                    if f"{table}.txt" not in archive.namelist():
-                        continue
-                    with archive.open(f"{table}.txt") as stream:
-                        rows: list[dict] = []
-                        for one in csv.DictReader(io.TextIOWrapper(stream, "utf-8-sig")):
-                            rows.append({c: one.get(c) or None for c in names} | {"feed": day.isoformat() if day else None})
-                            if len(rows) == 5000:
-                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                                rows = []
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for place in (p for batch in batches for p in batch.column("path").to_pylist()):
+            if (day := export_date(place.rsplit("/", 1)[-1].replace("%20", " "))) is None:
+                continue
+            with archives.opened(place) as archive:
+                if f"{table}.txt" not in archive.namelist():
+                    continue
+                with archive.open(f"{table}.txt") as stream:
+                    rows: list[dict] = []
+                    for one in csv.DictReader(io.TextIOWrapper(stream, "utf-8-sig")):
+                        rows.append({c: one.get(c) or None for c in names} | {"feed": day.isoformat()})
+                        if len(rows) == 5000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = files.mapInArrow(run, ", ".join(f"{c} string" for c in (*names, "feed")))
+    out = archives.listed(spark, path).mapInArrow(run, ", ".join(f"{c} string" for c in (*names, "feed")))
     out = out.withColumn("feed_version_date", F.to_date("feed")).drop("feed")
     return out.withColumns({c: F.to_date(F.try_to_timestamp(c, F.lit("yyyyMMdd"))) for c in DATES.get(table, ()) if c in names})
 
