@@ -86,7 +86,22 @@ def locate(line: Column, x: Column, y: Column) -> Column:
     return F.aggregate(_segments(line), start, step, lambda acc: F.struct(F.try_divide(acc["at"], acc["run"]).alias("fraction"), acc["d2"].alias("d2")))
 
 
+def in_polygon_column(polygon: tuple[tuple[float, float], ...], x: Column, y: Column) -> Column:
+    """Even-odd rule over a fixed polygon, as column arithmetic."""
+    crossed = F.lit(0)
+    for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+        if ay != by:
+            spans = (F.lit(ay) > y) != (F.lit(by) > y)
+            crossed = crossed + F.when(spans & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
+    return crossed % 2 == 1
+
+
 # ---- numpy kernels -------------------------------------------------------------------------------------------------
+def as_array(line) -> np.ndarray:
+    """Points of a line cell, as (n, 2)."""
+    return np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 

@@ -2,74 +2,87 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelane.functions import geo as G
 from farelane.operators import features as E
-from farelane.operators import relational as R
+from farelane.operators import pairs as P
 from farelane.plans.arrivals import BRIDGE, stop_arrivals
 from farelane.plans.catalog import query
-from farelane.plans.expressions import line_of_shape
+from farelane.plans.expressions import route_lines
 from farelane.session import scratch
 
+KEYS = ["device", "day"]
 
-def _metric(spark: SparkSession, view: str, order: str) -> np.ndarray:
-    east, north = G.utm24s(F.col("lon"), F.col("lat"))
-    return np.array([tuple(r) for r in spark.table(view).orderBy(order).select(east, north).collect()])  # one route's points
 
+def _metres(lon: str, lat: str) -> list:
+    east, north = G.utm24s(F.col(lon), F.col(lat))
+    return [east.alias("x"), north.alias("y")]
 
-def tracks(spark: SparkSession) -> DataFrame:
-    """Pings inside the windows of their device, in metres."""
-    inside = R.contained(spark.table("pings").where("lat < 0"), spark.table("windows"), ["device"], "ep", "opened", "closed", 86400.0)
-    east, north = G.utm24s(F.col("lon"), F.col("lat"))
-    return inside.select("device", F.col("window_id").alias("trip_id"), F.col("ep").alias("at"), east.alias("x"), north.alias("y"), (F.col("event_id") % 40).cast("double").alias("speed"), (F.col("heading") % 360).cast("double").alias("heading"))
 
+def routes(spark: SparkSession) -> DataFrame:
+    """Both directions of each route, in metres: the second runs the line and its stops backwards."""
+    line = spark.table("lines").select("route", "k", *_metres("lon", "lat")).groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
+    stops = spark.table("route_stops").select("route", "seq", *_metres("lon", "lat")).groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("stops"))
+    both = line.join(stops, "route").withColumn("direction", F.explode(F.array(F.lit("I"), F.lit("V"))))
+    turned = both.withColumns({c: F.when(F.col("direction") == "V", F.reverse(c)).otherwise(F.col(c)) for c in ("line", "stops")})
+    return turned.withColumns({"first_stops": F.slice("stops", 1, 1), "last_stops": F.slice("stops", -1, 1)})
 
-def directions(spark: SparkSession) -> DataFrame:
-    return E.direction_table(tracks(spark), _metric(spark, "shape", "k"), _metric(spark, "stops", "seq"))
 
+def points(spark: SparkSession) -> DataFrame:
+    p = spark.table("pings").where("lat < 0")
+    return p.select("device", F.floor(F.col("ep") / 86400).alias("day"), F.col("event_id").alias("point_id"), F.col("ep").alias("at"), *_metres("lon", "lat"), (F.col("event_id") % 40).cast("double").alias("speed"), (F.col("heading") % 360).cast("double").alias("heading"), "route")
 
-@query("m01_direction_features")
-def _(spark: SparkSession) -> DataFrame:
-    return directions(spark)
 
+def trips(spark: SparkSession) -> DataFrame:
+    """Windows as trips; one in six is of a route without a line."""
+    w = spark.table("windows")
+    return w.select("device", F.col("window_id").alias("trip_id"), "opened", "closed", F.floor(F.col("opened") / 86400).alias("day"), F.when(F.col("window_id") % 6 == 5, 99).otherwise(F.col("window_id") % 5).cast("int").alias("route"), (F.col("window_id") % 2).cast("int").alias("stated"))
 
-@query("m02_pair_day_features")
+
+def fares(spark: SparkSession) -> DataFrame:
+    return spark.table("windows").where("closed > opened").select(F.col("window_id").alias("trip_id"), F.explode(F.array(F.col("opened") + 3600, F.col("opened") + 7200)).alias("at"))
+
+
+def metrics(spark: SparkSession) -> DataFrame:
+    return E.direction_metrics(E.sampled_trips(trips(spark), KEYS), points(spark), routes(spark), fares(spark))
+
+
+@query("m01_direction_features")
 def _(spark: SparkSession) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        f = E.pair_day(g)
-        return pd.DataFrame([{"device": g.device.iloc[0]} | {c: f.get(c, float("nan")) for c in cols}])
+    return metrics(spark)
 
-    cols = ["n_trips", "n_seen", "margin_median", *[f"{c}_{s}" for c in E.NAMES[1:] for s in ("median", "max")], "good_trips", "bad_trips"]
-    return directions(spark).groupBy("device").applyInPandas(run, "device string, " + ", ".join(f"{c} double" for c in cols))
 
+_CONTINUITY = """WITH p AS (SELECT device, CAST(floor(ep / 86400) AS BIGINT) AS day, event_id, ep, event_id % 40 > 3 AS moving FROM pings WHERE lat < 0),
+w AS (SELECT device, CAST(floor(opened / 86400) AS BIGINT) AS day, opened, closed FROM windows),
+d AS (SELECT device, day, min(opened) AS first, arg_max(closed, (opened, closed)) AS last FROM w GROUP BY device, day),
+i AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.device = p.device AND w.day = p.day AND p.ep BETWEEN w.opened AND w.closed) THEN 1e0 ELSE 0e0 END AS inside FROM p),
+s AS (SELECT device, day, avg(inside) AS one, avg(inside) FILTER (WHERE moving) AS two, min(ep) FILTER (WHERE moving) AS a, max(ep) FILTER (WHERE moving) AS z FROM i GROUP BY device, day)
+SELECT d.device, d.day, round(one, 9) AS frac_device_points_in_windows, round(two, 9) AS frac_device_moving_points_in_windows, round(abs(a - first), 3) AS first_activity_gap_seconds, round(abs(z - last), 3) AS last_activity_gap_seconds FROM d LEFT JOIN s ON s.device = d.device AND s.day = d.day"""
 
-@query("m03_day_continuity", "SELECT p.device, round(avg(CASE WHEN EXISTS (SELECT 1 FROM windows w WHERE w.device = p.device AND p.ep BETWEEN w.opened AND w.closed) THEN 1e0 ELSE 0e0 END), 9) AS inside_share FROM pings p WHERE p.device IN (SELECT device FROM windows WHERE closed >= opened) GROUP BY p.device")
+
+@query("m03_day_continuity", _CONTINUITY)
 def _(spark: SparkSession) -> DataFrame:
-    pings = spark.table("pings").groupBy("device").agg(F.collect_list("ep").alias("at"))
-    spans = spark.table("windows").where("closed >= opened").groupBy("device").agg(F.collect_list(F.struct("opened", "closed")).alias("w"))
+    out = E.day_continuity(trips(spark), points(spark), KEYS)
+    return out.select(*KEYS, *[F.round(c, 9 if "frac" in c else 3).alias(c) for c in out.columns if c not in KEYS])
+
 
-    @F.pandas_udf("double")
-    def inside(at: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([E.day_continuity(np.array(a), np.array([(x["opened"], x["closed"]) for x in b]))["inside_share"] for a, b in zip(at, w, strict=True)])
+def pair_days(spark: SparkSession) -> DataFrame:
+    own = E.sampled_trips(trips(spark), KEYS).withColumn("route_known", F.col("route") < 99)
+    return E.pair_days(own, metrics(spark), E.day_continuity(trips(spark), points(spark), KEYS), KEYS)
 
-    return pings.join(spans, "device").select("device", F.round(inside("at", "w"), 9).alias("inside_share"))
+
+@query("m02_pair_day_features")
+def _(spark: SparkSession) -> DataFrame:
+    return pair_days(spark)
 
 
 @query("m32_stop_events")
 def _(spark: SparkSession) -> DataFrame:
-    """Every stop of every tracked trip: observed, estimated past the track, passed without an arrival, or not reached."""
-    line = line_of_shape(spark)
-    arrived = stop_arrivals(spark.table("pings"), line, spark.table("stops"), BRIDGE).select("trip_id", "stop_id", "arrived", "extrapolated")
-    at = G.locate(F.col("line"), F.col("lon"), F.col("lat"))["fraction"]
-    reach = spark.table("pings").where("not (lat = 0 and lon = 0)").crossJoin(F.broadcast(line)).groupBy("trip_id").agg(F.max(at).alias("reach"))
-    stops = spark.table("stops").crossJoin(F.broadcast(line)).select("stop_id", at.alias("s"))
-    rows = reach.crossJoin(F.broadcast(stops)).join(arrived, ["trip_id", "stop_id"], "left")
-    status = F.when(F.col("extrapolated"), "estimated").when(F.col("arrived").isNotNull(), "observed").when(F.col("s") <= F.col("reach"), "passed").otherwise("not_reached")
-    return rows.select("trip_id", "stop_id", "arrived", status.alias("status"))
+    """Every stop of the route of every tracked trip: observed (dwell), passed, extrapolated, not_reached or unobserved."""
+    p, lines, stops = spark.table("pings").where("not (lat = 0 and lon = 0)"), route_lines(spark), spark.table("route_stops")
+    return P.stop_events(p.withColumn("speed", F.col("event_id") % 40), lines, stops, stop_arrivals(p, lines, stops, BRIDGE), dwell_m=300.0)
 
 
 @query("m36_model_registry", "SELECT 'trees' AS kind, CAST(2 AS BIGINT) AS runs, count(*) AS scored FROM trips")

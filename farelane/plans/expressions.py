@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farelane.functions import geo as G
 from farelane.functions import scalars as S
@@ -162,20 +163,26 @@ def _(spark: SparkSession) -> DataFrame:
     return spark.table("pings").select("event_id", F.round(G.haversine(F.col("lon"), F.col("lat"), F.lit(-38.53), F.lit(-3.75)), 3).alias("metres"))
 
 
-def line_of_shape(spark: SparkSession) -> DataFrame:
-    return spark.table("shape").agg(G.make_line(F.col("k"), F.col("lon"), F.col("lat")).alias("line"))
+def route_lines(spark: SparkSession) -> DataFrame:
+    """(route, line): one line for each route."""
+    return spark.table("lines").groupBy("route").agg(G.make_line(F.col("k"), F.col("lon"), F.col("lat")).alias("line"))
 
 
-_LOCATE = """WITH seg AS (SELECT k, lon AS ax, lat AS ay, lead(lon) OVER (ORDER BY k) - lon AS dx, lead(lat) OVER (ORDER BY k) - lat AS dy FROM shape),
-s AS (SELECT *, sqrt(dx * dx + dy * dy) AS len, coalesce(sum(sqrt(dx * dx + dy * dy)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(sqrt(dx * dx + dy * dy)) OVER () AS total FROM seg WHERE dx IS NOT NULL),
-t AS (SELECT event_id, p.lon, p.lat, s.*, least(greatest(((p.lon - ax) * dx + (p.lat - ay) * dy) / (dx * dx + dy * dy), 0), 1) AS t FROM pings p CROSS JOIN s),
+def on_route(spark: SparkSession) -> DataFrame:
+    """Pings with the line of their route: an equality join by route."""
+    return spark.table("pings").join(route_lines(spark), "route")
+
+
+_LOCATE = """WITH seg AS (SELECT route, k, lon AS ax, lat AS ay, lead(lon) OVER w - lon AS dx, lead(lat) OVER w - lat AS dy FROM lines WINDOW w AS (PARTITION BY route ORDER BY k)),
+s AS (SELECT *, sqrt(dx * dx + dy * dy) AS len, coalesce(sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY route ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY route) AS total FROM seg WHERE dx IS NOT NULL),
+t AS (SELECT event_id, p.lon, p.lat, s.*, least(greatest(((p.lon - ax) * dx + (p.lat - ay) * dy) / (dx * dx + dy * dy), 0), 1) AS t FROM pings p JOIN s ON s.route = p.route),
 r AS (SELECT event_id, (before + t * len) / total AS fraction, (lon - ax - t * dx) * (lon - ax - t * dx) + (lat - ay - t * dy) * (lat - ay - t * dy) AS d2, k FROM t),
 best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, k) AS rn FROM r) """
 
 
 @query("g03_cross_track", _LOCATE + "SELECT event_id, round(sqrt(d2), 9) AS offset_deg FROM best WHERE rn = 1")
 def _(spark: SparkSession) -> DataFrame:
-    p = spark.table("pings").crossJoin(F.broadcast(line_of_shape(spark)))
+    p = on_route(spark)
     return p.select("event_id", F.round(F.sqrt(G.locate(F.col("line"), F.col("lon"), F.col("lat"))["d2"]), 9).alias("offset_deg"))
 
 
@@ -187,13 +194,13 @@ def _(spark: SparkSession) -> DataFrame:
 
 @query("g05_locate_on_line", _LOCATE + "SELECT event_id, round(fraction, 9) AS fraction FROM best WHERE rn = 1")
 def _(spark: SparkSession) -> DataFrame:
-    p = spark.table("pings").crossJoin(F.broadcast(line_of_shape(spark)))
+    p = on_route(spark)
     return p.select("event_id", F.round(G.locate(F.col("line"), F.col("lon"), F.col("lat"))["fraction"], 9).alias("fraction"))
 
 
-@query("g06_line_length", f"SELECT round(sum({_HAVERSINE.format(a='lat', b='lat2', c='lon', d='lon2')}), 3) AS metres FROM (SELECT lat, lon, lead(lat) OVER (ORDER BY k) AS lat2, lead(lon) OVER (ORDER BY k) AS lon2 FROM shape) s WHERE lat2 IS NOT NULL")
+@query("g06_line_length", f"SELECT route, round(sum({_HAVERSINE.format(a='lat', b='lat2', c='lon', d='lon2')}), 3) AS metres FROM (SELECT route, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM lines WINDOW w AS (PARTITION BY route ORDER BY k)) s WHERE lat2 IS NOT NULL GROUP BY route")
 def _(spark: SparkSession) -> DataFrame:
-    return line_of_shape(spark).select(F.round(G.line_length_metres(F.col("line")), 3).alias("metres"))
+    return route_lines(spark).select("route", F.round(G.line_length_metres(F.col("line")), 3).alias("metres"))
 
 
 @query("g07_end_points", "SELECT device, arg_min(lon, (ep, event_id)) AS start_x, arg_max(lon, (ep, event_id)) AS end_x FROM pings GROUP BY device HAVING count(*) >= 2")
@@ -221,34 +228,38 @@ def _(spark: SparkSession) -> DataFrame:
 
 def _tracks(spark: SparkSession) -> DataFrame:
     p = spark.table("pings").where("event_id % 101 <> 0 and event_id % 97 <> 0")
-    return p.groupBy("device").agg(G.make_line(F.struct("ep", "event_id"), F.col("lon"), F.col("lat")).alias("line")).where("line is not null")
+    return p.groupBy("device", "route").agg(G.make_line(F.struct("ep", "event_id"), F.col("lon"), F.col("lat")).alias("line")).where("line is not null")
 
 
-def compare_lines(shape: np.ndarray):
-    """Arrow UDF: struct(frechet, hausdorff) of a line column against one fixed line."""
+@F.pandas_udf(T.StructType([T.StructField("frechet", T.DoubleType()), T.StructField("hausdorff", T.DoubleType())]))
+def compare_lines(lines: pd.Series, others: pd.Series) -> pd.DataFrame:
+    """struct(frechet, hausdorff) of two line columns, row by row."""
+    pairs = [(G.as_array(a), G.as_array(b)) for a, b in zip(lines, others, strict=True)]
+    return pd.DataFrame({"frechet": [G.frechet(a, b) for a, b in pairs], "hausdorff": [G.hausdorff(a, b) for a, b in pairs]})
 
-    @F.pandas_udf("frechet double, hausdorff double")
-    def run(lines: pd.Series) -> pd.DataFrame:
-        own = [np.array([(p["x"], p["y"]) for p in line]) for line in lines]
-        return pd.DataFrame({"frechet": [G.frechet(x, shape) for x in own], "hausdorff": [G.hausdorff(x, shape) for x in own]})
 
-    return run
+def _compared(spark: SparkSession) -> DataFrame:
+    both = _tracks(spark).join(route_lines(spark).withColumnRenamed("line", "shape"), "route")
+    return both.select("device", "route", "line", "shape", compare_lines("line", "shape").alias("d"))
 
 
-def _shape_array(spark: SparkSession) -> np.ndarray:
-    return np.array([(r["lon"], r["lat"]) for r in spark.table("shape").orderBy("k").collect()])  # one line, a handful of points
+#: Points of two lines meet in order; the best largest step over all ways that go on in both, by a table filled cell by cell.
+_FRECHET = """WITH RECURSIVE a AS (SELECT device, route, row_number() OVER (PARTITION BY device ORDER BY ep, event_id) AS i, lon, lat, count(*) OVER (PARTITION BY device) AS n FROM pings WHERE event_id % 101 <> 0 AND event_id % 97 <> 0),
+b AS (SELECT route, CAST(k + 1 AS BIGINT) AS j, lon, lat FROM lines), d AS (SELECT a.device, i, n, list(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) ORDER BY j) AS d FROM a JOIN b ON b.route = a.route WHERE n >= 2 GROUP BY a.device, i, n),
+f AS (SELECT device, i, n, list_transform(range(1, 6), lambda j: list_max(d[1:j])) AS c FROM d WHERE i = 1
+ UNION ALL SELECT d.device, d.i, d.n, [greatest(f.c[1], d.d[1]), g2, g3, g4, greatest(least(f.c[4], f.c[5], g4), d.d[5])] FROM f JOIN (SELECT * FROM d) d ON d.device = f.device AND d.i = f.i + 1,
+ LATERAL (SELECT greatest(least(f.c[1], f.c[2], greatest(f.c[1], d.d[1])), d.d[2]) AS g2) x2, LATERAL (SELECT greatest(least(f.c[2], f.c[3], g2), d.d[3]) AS g3) x3, LATERAL (SELECT greatest(least(f.c[3], f.c[4], g3), d.d[4]) AS g4) x4)
+SELECT device, round(c[5], 9) AS frechet FROM f WHERE i = n"""
 
 
-@query("g10_frechet")
+@query("g10_frechet", _FRECHET)
 def _(spark: SparkSession) -> DataFrame:
-    d = compare_lines(_shape_array(spark))(F.col("line"))
-    return _tracks(spark).select("device", F.round(d["frechet"], 9).alias("frechet"))
+    return _compared(spark).select("device", F.round("d.frechet", 9).alias("frechet"))
 
 
-@query("g11_hausdorff", "WITH d AS (SELECT p.device, p.event_id, s.k, sqrt((p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat)) AS d FROM pings p CROSS JOIN shape s WHERE p.event_id % 101 <> 0 AND p.event_id % 97 <> 0), a AS (SELECT device, max(m) AS h FROM (SELECT device, event_id, min(d) AS m FROM d GROUP BY device, event_id) x GROUP BY device HAVING count(*) >= 2), b AS (SELECT device, max(m) AS h FROM (SELECT device, k, min(d) AS m FROM d GROUP BY device, k) x GROUP BY device) SELECT a.device, round(greatest(a.h, b.h), 9) AS hausdorff FROM a JOIN b ON a.device = b.device")
+@query("g11_hausdorff", "WITH d AS (SELECT p.device, p.event_id, s.k, sqrt((p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat)) AS d FROM pings p JOIN lines s ON s.route = p.route WHERE p.event_id % 101 <> 0 AND p.event_id % 97 <> 0), a AS (SELECT device, max(m) AS h FROM (SELECT device, event_id, min(d) AS m FROM d GROUP BY device, event_id) x GROUP BY device HAVING count(*) >= 2), b AS (SELECT device, max(m) AS h FROM (SELECT device, k, min(d) AS m FROM d GROUP BY device, k) x GROUP BY device) SELECT a.device, round(greatest(a.h, b.h), 9) AS hausdorff FROM a JOIN b ON a.device = b.device")
 def _(spark: SparkSession) -> DataFrame:
-    d = compare_lines(_shape_array(spark))(F.col("line"))
-    return _tracks(spark).select("device", F.round(d["hausdorff"], 9).alias("hausdorff"))
+    return _compared(spark).select("device", F.round("d.hausdorff", 9).alias("hausdorff"))
 
 
 plain("g12_dump_points", "SELECT device, pos, p.x AS x, p.y AS y FROM (SELECT device, posexplode(transform(array_sort(collect_list(struct(ep, event_id, lon, lat))), e -> struct(e.lon AS x, e.lat AS y))) AS (pos, p) FROM pings GROUP BY device) q", "SELECT device, CAST(row_number() OVER (PARTITION BY device ORDER BY ep, event_id) - 1 AS INT) AS pos, lon AS x, lat AS y FROM pings")
@@ -256,20 +267,39 @@ plain("g12_dump_points", "SELECT device, pos, p.x AS x, p.y AS y FROM (SELECT de
 
 @query("g13_project_points", _LOCATE + "SELECT event_id, round(fraction, 9) AS fraction, round(sqrt(d2), 9) AS off, CAST(k AS INT) AS segment FROM best WHERE rn = 1")
 def _(spark: SparkSession) -> DataFrame:
-    shape = _shape_array(spark)
-    total = float(np.sqrt((np.diff(shape, axis=0) ** 2).sum(axis=1)).sum())
+    """Points go along as one array for each trip, and a whole trip is projected onto its route's line at once."""
 
-    @F.pandas_udf("fraction double, off double, segment int")
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        along, off, seg = G.project(shape, np.stack([x, y], axis=1))
-        return pd.DataFrame({"fraction": along / total, "off": off, "segment": seg})
+    @F.pandas_udf("array<struct<fraction:double,off:double,segment:int>>")
+    def run(lines: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for line, x, y in zip(lines, xs, ys, strict=True):
+            shape = G.as_array(line)
+            along, off, seg = G.project(shape, np.stack([x, y], axis=1))
+            total = float(np.sqrt((np.diff(shape, axis=0) ** 2).sum(axis=1)).sum())
+            out.append([{"fraction": a / total, "off": o, "segment": int(k)} for a, o, k in zip(along, off, seg, strict=True)])
+        return pd.Series(out)
 
-    p = spark.table("pings").select("event_id", run("lon", "lat").alias("r"))
-    return p.select("event_id", F.round("r.fraction", 9).alias("fraction"), F.round("r.off", 9).alias("off"), "r.segment")
+    trips = spark.table("pings").groupBy("trip_id", "route").agg(F.collect_list(F.struct("event_id", "lon", "lat")).alias("at"))
+    p = trips.join(route_lines(spark), "route").withColumn("r", run("line", "at.lon", "at.lat"))
+    p = p.select(F.explode(F.arrays_zip(F.col("at.event_id").alias("event_id"), "r")).alias("z"))
+    return p.select("z.event_id", F.round("z.r.fraction", 9).alias("fraction"), F.round("z.r.off", 9).alias("off"), "z.r.segment")
 
 
-plain("g14_nearest_candidate", "SELECT event_id, round(min(sqrt((p.lat - s.lat) * (p.lat - s.lat) + (p.lon - s.lon) * (p.lon - s.lon))), 9) AS nearest FROM pings p CROSS JOIN (SELECT lat, lon FROM stops) s GROUP BY event_id")
-plain("g22_nearest_facility", "SELECT t.trip_id, round(min(CASE WHEN s.zone = t.direction THEN abs(s.lat + 3.75e0) END), 9) AS nearest_own, round(min(abs(s.lat + 3.75e0)), 9) AS nearest_any FROM trips t CROSS JOIN (SELECT zone, lat FROM stops WHERE stop_id % 4 = 0) s GROUP BY t.trip_id")
+@query("g14_nearest_candidate", "SELECT event_id, round(min(sqrt((p.lat - s.lat) * (p.lat - s.lat) + (p.lon - s.lon) * (p.lon - s.lon))), 9) AS nearest FROM pings p JOIN route_stops s ON s.route = p.route GROUP BY event_id")
+def _(spark: SparkSession) -> DataFrame:
+    """Candidates are those of the ping's route, as one array: a ping is one row before and after."""
+    stops = spark.table("route_stops").groupBy("route").agg(F.collect_list(F.struct("lon", "lat")).alias("stops"))
+    d = F.transform("stops", lambda s: F.sqrt((F.col("lat") - s["lat"]) * (F.col("lat") - s["lat"]) + (F.col("lon") - s["lon"]) * (F.col("lon") - s["lon"])))
+    return spark.table("pings").join(stops, "route").select("event_id", F.round(F.array_min(d), 9).alias("nearest"))
+
+
+@query("g22_nearest_facility", "SELECT t.trip_id, round(min(CASE WHEN s.zone = t.direction THEN abs(s.lat + 3.75e0) END), 9) AS nearest_own, round(min(abs(s.lat + 3.75e0)), 9) AS nearest_any FROM trips t CROSS JOIN (SELECT zone, lat FROM stops WHERE stop_id % 4 = 0) s GROUP BY t.trip_id")
+def _(spark: SparkSession) -> DataFrame:
+    """The nearest facility of the own kind by key, that of any kind as one value."""
+    f = spark.table("stops").where("stop_id % 4 = 0").select("zone", F.abs(F.col("lat") + 3.75).alias("d"))
+    own = f.groupBy(F.col("zone").alias("direction")).agg(F.round(F.min("d"), 9).alias("nearest_own"))
+    anywhere = f.agg(F.round(F.min("d"), 9).alias("nearest_any"))  # one row
+    return spark.table("trips").select("trip_id", "direction").join(own, "direction", "left").crossJoin(anywhere).select("trip_id", "nearest_own", "nearest_any")
 
 
 @query("g23_straightness", "WITH o AS (SELECT device, lon, lat, lag(lon) OVER w AS px, lag(lat) OVER w AS py, first_value(lon) OVER w AS fx, first_value(lat) OVER w AS fy, row_number() OVER (PARTITION BY device ORDER BY ep DESC, event_id DESC) AS rl FROM pings WHERE event_id % 101 <> 0 AND event_id % 97 <> 0 WINDOW w AS (PARTITION BY device ORDER BY ep, event_id)), l AS (SELECT device, sum(sqrt((lon - px) * (lon - px) + (lat - py) * (lat - py))) AS len, max(CASE WHEN rl = 1 THEN sqrt((lon - fx) * (lon - fx) + (lat - fy) * (lat - fy)) END) AS straight, count(*) AS n FROM o GROUP BY device) SELECT device, round(straight / nullif(len, 0), 7) AS straightness FROM l WHERE n >= 2")
@@ -281,7 +311,7 @@ def _(spark: SparkSession) -> DataFrame:
 
 @query("g24_direction_correlation", _LOCATE + "SELECT p.device, count(*) AS n_points, round(covar_pop(b.fraction, p.ep) / nullif(stddev_pop(b.fraction) * stddev_pop(p.ep), 0), 5) AS r FROM pings p JOIN best b ON b.event_id = p.event_id AND b.rn = 1 GROUP BY p.device")
 def _(spark: SparkSession) -> DataFrame:
-    p = spark.table("pings").crossJoin(F.broadcast(line_of_shape(spark)))
+    p = on_route(spark)
     p = p.withColumn("fraction", G.locate(F.col("line"), F.col("lon"), F.col("lat"))["fraction"])
     return p.groupBy("device").agg(F.count(F.lit(1)).alias("n_points"), F.round(S.pearson(F.col("fraction"), F.col("ep")), 5).alias("r"))
 
@@ -316,38 +346,46 @@ def _(spark: SparkSession) -> DataFrame:
 
 @query("g30_map_matching")
 def _(spark: SparkSession) -> DataFrame:
-    """Likeliest stop sequence of each device: nearer stops emit likelier, far jumps along the route are unlikely."""
-    stops = np.array([(r["lon"], r["lat"]) for r in spark.table("stops").orderBy("seq").collect()])  # one route's stops
-    jump = -np.abs(np.arange(len(stops))[:, None] - np.arange(len(stops))[None, :]) / 2.0
+    """Likeliest stop sequence of each trip along its route: nearer stops emit likelier, far jumps along the route are unlikely."""
 
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ep", "event_id"])
-        emit = -((G.distances(g[["lon", "lat"]].to_numpy(), stops) / 0.002) ** 2) / 2
-        return pd.DataFrame({"event_id": g.event_id, "stop_seq": G.viterbi(np.zeros(len(stops)), jump, emit) + 1})
+    @F.pandas_udf("array<long>")
+    def match(sx: pd.Series, sy: pd.Series, seq: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k, x, y in zip(sx, sy, seq, xs, ys, strict=True):
+            stops = np.stack([a, b], axis=1)
+            jump = -np.abs(np.arange(len(stops))[:, None] - np.arange(len(stops))[None, :]) / 2.0
+            emit = -((G.distances(np.stack([x, y], axis=1), stops) / 0.002) ** 2) / 2
+            out.append(np.asarray(k)[G.viterbi(np.zeros(len(stops)), jump, emit)].astype(np.int64))
+        return pd.Series(out)
 
-    p = spark.table("pings").where("lat < -3").select("device", "event_id", "ep", "lon", "lat")
-    return p.groupBy("device").applyInPandas(match, "event_id long, stop_seq long")
+    stops = spark.table("route_stops").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("stops"))
+    trips = spark.table("pings").where("not (lat = 0 and lon = 0)").groupBy("trip_id", "route").agg(F.array_sort(F.collect_list(F.struct("ep", "event_id", "lon", "lat"))).alias("at"))
+    got = trips.join(stops, "route").withColumn("r", match("stops.lon", "stops.lat", "stops.seq", "at.lon", "at.lat"))
+    return got.select(F.explode(F.arrays_zip(F.col("at.event_id").alias("event_id"), F.col("r").alias("stop_seq"))).alias("z")).select("z.event_id", "z.stop_seq")
 
 
 @query("g28_forward_stops")
 def _(spark: SparkSession) -> DataFrame:
-    shape = _shape_array(spark)
+    @F.pandas_udf("array<double>")
+    def run(lines: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([G.forward_stops(G.as_array(line), np.stack([x, y], axis=1)) for line, x, y in zip(lines, xs, ys, strict=True)])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq")
-        return pd.DataFrame({"stop_id": g.stop_id, "chainage": G.forward_stops(shape, g[["lon", "lat"]].to_numpy())})
+    stops = spark.table("route_stops").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_id", "lon", "lat"))).alias("s"))
+    got = stops.join(route_lines(spark), "route").withColumn("r", run("line", "s.lon", "s.lat"))
+    return got.select("route", F.explode(F.arrays_zip(F.col("s.stop_id").alias("stop_id"), F.col("r").alias("chainage"))).alias("z")).select("route", "z.stop_id", "z.chainage")
 
-    return spark.table("stops").groupBy("zone").applyInPandas(run, "stop_id long, chainage double")
 
+#: A zone that is neither convex nor parallel to the axes.
+ZONE = ((-38.545, -3.79), (-38.52, -3.78), (-38.51, -3.72), (-38.53, -3.75), (-38.54, -3.73))
+_CROSS = " + ".join(f"CASE WHEN ({ay!r} > lat) <> ({by!r} > lat) AND lon < ({bx - ax!r}) * (lat - ({ay!r})) / ({by - ay!r}) + ({ax!r}) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(ZONE, ZONE[1:] + ZONE[:1], strict=True))
 
-@query("g31_polygon_zone", "SELECT event_id FROM pings WHERE lon > -38.54e0 AND lon < -38.52e0 AND lat > -3.78e0 AND lat < -3.73e0")
-def _(spark: SparkSession) -> DataFrame:
-    box = np.array([(-38.54, -3.78), (-38.52, -3.78), (-38.52, -3.73), (-38.54, -3.73)])
 
-    @F.pandas_udf("boolean")
-    def inside(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(G.in_polygon(box, np.stack([x, y], axis=1)))
+@query("g31_polygon_zone", f"SELECT event_id FROM pings WHERE ({_CROSS}) % 2 = 1")
+def _(spark: SparkSession) -> DataFrame:
+    """The zone's box prunes in the scan; the even-odd rule over its edges is column arithmetic."""
+    x, y = [p[0] for p in ZONE], [p[1] for p in ZONE]
+    near = spark.table("pings").where(F.col("lon").between(min(x), max(x)) & F.col("lat").between(min(y), max(y)))
+    return near.where(G.in_polygon_column(ZONE, F.col("lon"), F.col("lat"))).select("event_id")
 
-    return spark.table("pings").where(inside("lon", "lat")).select("event_id")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("core", "expressions", "arrivals", "tables", "matching", "files", "evidence")
+MODULES = ("core", "expressions", "arrivals", "tables", "matching", "pairs", "files", "evidence")
 
 
 def load() -> None:

@@ -67,7 +67,6 @@ def _(spark: SparkSession) -> DataFrame:
 
 plain("g21_pattern_variants", "SELECT route_id, kinds, n, CAST(row_number() OVER (PARTITION BY route_id ORDER BY n DESC, kinds) AS BIGINT) AS variant_id FROM (SELECT route_id, kinds, count(*) AS n FROM (SELECT t.trip_id, t.route_id, concat(min(x.kind), max(x.kind)) AS kinds FROM trips t JOIN taps x ON x.trip_id = t.trip_id GROUP BY t.trip_id, t.route_id) a GROUP BY route_id, kinds) b")
 
-plain("m12_candidate_blocking", "SELECT coalesce(b.bus, d.bus) AS bus, coalesce(b.dev, d.dev) AS dev, b.bus IS NOT NULL AS from_overlap, d.bus IS NOT NULL AS from_dictionary FROM (SELECT bus, dev FROM (SELECT bus, dev, row_number() OVER (PARTITION BY bus ORDER BY n DESC, dev) AS rn FROM (SELECT l_suppkey AS bus, l_partkey % 50 AS dev, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey % 50) x) y WHERE rn <= 10) b FULL JOIN (SELECT s_suppkey AS bus, CAST(s_nationkey AS BIGINT) AS dev FROM supplier) d ON d.bus = b.bus AND d.dev = b.dev")
 
 
 @query("m13_contestedness", "SELECT t.trip_id, count(DISTINCT b.bus_id) AS rivals FROM trips t LEFT JOIN trips b ON b.route_id = t.route_id AND b.trip_date = t.trip_date AND b.bus_id <> t.bus_id AND b.opened < t.closed AND b.closed > t.opened GROUP BY t.trip_id")
@@ -79,13 +78,6 @@ def _(spark: SparkSession) -> DataFrame:
     return t.select("trip_id").join(n, "trip_id", "left").na.fill(0, ["rivals"])
 
 
-plain("m14_pair_month_features", "SELECT bus, dev, n_days, round(mean_score, 6) AS mean_score, CAST(rank() OVER (PARTITION BY bus ORDER BY n_days DESC) AS BIGINT) AS bus_rank, CAST(rank() OVER (PARTITION BY dev ORDER BY n_days DESC) AS BIGINT) AS dev_rank, n_days = max(n_days) OVER (PARTITION BY bus) AND n_days = max(n_days) OVER (PARTITION BY dev) AS mutual_best FROM (SELECT l_suppkey AS bus, l_partkey % 50 AS dev, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days, avg(l_discount) AS mean_score FROM lineitem GROUP BY l_suppkey, l_partkey % 50) x")
-plain("m15_label_expansion", "WITH v AS (SELECT s_suppkey AS bus, CAST(s_nationkey AS BIGINT) AS dev, CASE s_suppkey % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' ELSE 'unsure' END AS verdict FROM supplier), c AS (SELECT DISTINCT l_suppkey AS bus, l_partkey % 25 AS dev FROM lineitem) SELECT bus, dev, 1 AS label FROM v WHERE verdict = 'correct' UNION ALL SELECT c.bus, c.dev, 0 FROM c JOIN v ON v.bus = c.bus AND v.verdict = 'correct' AND v.dev <> c.dev UNION ALL SELECT bus, dev, 0 FROM v WHERE verdict = 'wrong'")
-
-
-@query("m17_group_folds", "SELECT bus_id, count(DISTINCT fold) AS folds FROM (SELECT bus_id, 0 AS fold FROM trips) x GROUP BY bus_id")
-def _(spark: SparkSession) -> DataFrame:
-    return spark.table("trips").withColumn("fold", F.pmod(F.xxhash64("bus_id", F.lit(42)), F.lit(5))).groupBy("bus_id").agg(F.countDistinct("fold").alias("folds"))
 
 
 @query("m19_metrics", "WITH s AS (SELECT CASE WHEN event_id * 31 % 7 < event_id * 7919 % 1000 / 150e0 THEN 1e0 ELSE 0e0 END AS y, (event_id * 7919 % 1000) / 1000e0 AS p FROM events), r AS (SELECT *, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0) AS rk FROM s), a AS (SELECT (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc, avg((p - y) * (p - y)) AS brier, avg(-(y * ln(least(greatest(p, 1e-9), 1 - 1e-9)) + (1 - y) * ln(1 - least(greatest(p, 1e-9), 1 - 1e-9)))) AS ll, count(*) AS n FROM r), e AS (SELECT sum(g) / sum(n) AS ece FROM (SELECT abs(sum(y) - sum(p)) AS g, count(*) AS n FROM s GROUP BY least(floor(p * 10), 9)) q) SELECT n, round(auc, 7) AS auc, round(brier, 7) AS brier, round(ll, 6) AS log_loss, round(ece, 7) AS ece FROM a CROSS JOIN e")
@@ -132,8 +124,13 @@ def _(spark: SparkSession) -> DataFrame:
     p = F.col("event_id") * 7919 % 1000 / F.lit(1000.0)
     s = spark.table("events").select(F.when(F.col("event_id") * 31 % 7 < F.col("event_id") * 7919 % 1000 / F.lit(150.0), 1).otherwise(0).alias("y"), p.alias("p"))
     g = s.groupBy("p").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))  # distinct scores, not rows
-    w = W.orderBy(F.desc("p"))
-    c = g.select("p", F.sum("y").over(w).alias("tp"), F.sum("n").over(w).alias("pred")).crossJoin(g.agg(F.sum("y").alias("pos")))
+    # scores are cumulated in blocks first, so no task sorts them all
+    g = g.withColumn("block", F.floor(F.col("p") * 1000))
+    sums = g.groupBy("block").agg(F.sum("y").alias("by"), F.sum("n").alias("bn"))
+    above = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("block", F.coalesce(F.sum("by").over(above), F.lit(0)).alias("ay"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"))
+    w = W.partitionBy("block").orderBy(F.desc("p"))
+    c = g.join(sums, "block").select("p", (F.sum("y").over(w) + F.col("ay")).alias("tp"), (F.sum("n").over(w) + F.col("an")).alias("pred")).crossJoin(g.agg(F.sum("y").alias("pos")))
     return c.select(F.col("p").alias("threshold"), F.round(2.0 * F.col("tp") / (F.col("pred") + F.col("pos")), 9).alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
@@ -152,10 +149,6 @@ def _(spark: SparkSession) -> DataFrame:
     return spark.sql(_CLASS_ROWS).select("bus", M.final_class(c("excluded"), c("n"), c("hand"), c("unsure"), c("split"), c("single"), c("best")).alias("method"))
 
 
-plain("m24_unclaimed_reasons", "SELECT s_suppkey AS device, CASE WHEN b.k IS NULL THEN 'never_blocked' WHEN e.k IS NULL THEN 'only_excluded' ELSE 'lost_competition' END AS reason FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49) b ON b.k = s_suppkey LEFT JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A') e ON e.k = s_suppkey")
-plain("m25_structural_exclusions", "SELECT DISTINCT t.bus_id FROM trips t LEFT JOIN (SELECT left(lpad(CAST(user_id AS VARCHAR(20)), 5, '0'), 4) AS co FROM events GROUP BY 1) e ON e.co = left(t.bus_id, 4) WHERE e.co IS NULL OR t.bus_id LIKE '0013%'", )
-plain("m26_audit_by_band", "SELECT CAST(floor(p * 10) AS INT) AS band, count(*) AS n, round(avg(y), 9) AS precision_share FROM (SELECT (event_id * 7919 % 1000) / 1000e0 AS p, CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS y FROM events) s GROUP BY CAST(floor(p * 10) AS INT)")
-plain("m27_crosswalk", "SELECT t.bus_id, coalesce(d.raw_code, v.raw_code) AS avl_id, CASE WHEN d.entry IS NOT NULL THEN 'device' WHEN v.entry IS NOT NULL THEN 'vehicle' END AS via FROM (SELECT DISTINCT bus_id FROM trips) t LEFT JOIN (SELECT * FROM dictionary WHERE entry % 2 = 0) d ON lpad(CAST(d.entry AS VARCHAR(20)), 5, '0') = t.bus_id LEFT JOIN (SELECT * FROM dictionary WHERE entry % 3 = 0) v ON lpad(CAST(v.entry AS VARCHAR(20)), 5, '0') = t.bus_id")
 
 
 @query("m28_tap_linkage", "SELECT window_id, device, round(sum(llr), 6) AS score FROM (SELECT w.window_id, w.device, CASE WHEN abs(p.ep - w.opened) <= 3600 THEN ln(8e0) ELSE -ln(1.5e0) END AS llr FROM windows w JOIN pings p ON p.device = w.device AND p.ep BETWEEN w.opened AND w.closed) x GROUP BY window_id, device")
@@ -181,18 +174,17 @@ def _(spark: SparkSession) -> DataFrame:
 
 
 plain("m33_learned_patterns", "SELECT stop_id, kind, n, round(n * 1e0 / total, 9) AS support FROM (SELECT stop_id, kind, count(*) AS n, sum(count(*)) OVER (PARTITION BY stop_id) AS total FROM taps GROUP BY stop_id, kind) x WHERE n * 1e0 / total >= 0.3e0")
-plain("m34_device_classes", "SELECT device, CASE WHEN n < 20 THEN 'sparse' WHEN sd < 0.02e0 THEN 'parked' ELSE 'running' END AS class FROM (SELECT device, count(*) AS n, stddev_pop(lat) AS sd FROM pings GROUP BY device) x")
-plain("m35_label_queue", "SELECT bus_id, CAST(row_number() OVER (ORDER BY has_score DESC, margin, bus_id) AS BIGINT) AS place FROM (SELECT bus_id, bool_or(direction = 1) AS has_score, min(price) AS margin FROM trips t WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE lpad(CAST(s.s_suppkey AS VARCHAR(20)), 5, '0') = t.bus_id) GROUP BY bus_id) x")
 
 # ---- checks ----------------------------------------------------------------------------------------------------------
 plain("c01_conservation", "SELECT (SELECT count(*) FROM taps) AS taps, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT trip_id, count(*) AS n FROM taps GROUP BY trip_id) x) AS by_trip, (SELECT count(*) FROM lineitem) AS source")
 plain("c02_ratio_checks", "SELECT count(*) AS n, count(*) FILTER (WHERE r IS NULL) AS nulls, count(*) FILTER (WHERE r < 0) AS negative FROM (SELECT CAST(seq AS DOUBLE) / nullif(tapped - opened, 0) AS r FROM taps JOIN trips ON trips.trip_id = taps.trip_id) x")
 
 
-@query("c03_positions_inside", "SELECT CAST(0 AS BIGINT) AS outside")
+@query("c03_positions_inside", "SELECT w.device, count(*) AS positions, count(DISTINCT p.event_id) AS pings, count(*) FILTER (WHERE p.ep < w.opened + 3600) AS early FROM windows w JOIN pings p ON p.device = w.device AND p.ep >= w.opened AND p.ep <= w.closed GROUP BY w.device")
 def _(spark: SparkSession) -> DataFrame:
+    """Positions lie inside their own window only: as many as a plain range join finds, early ones too, none for other devices."""
     x = R.contained(spark.table("pings"), spark.table("windows"), ["device"], "ep", "opened", "closed", 86400.0)
-    return x.agg(F.count_if((F.col("ep") < F.col("opened")) | (F.col("ep") > F.col("closed"))).alias("outside"))
+    return x.groupBy("device").agg(F.count(F.lit(1)).alias("positions"), F.countDistinct("event_id").alias("pings"), F.count_if(F.col("ep") < F.col("opened") + 3600).alias("early"))
 
 
 plain("c05_one_bucket_a_bus", f"SELECT count(*) AS wrong FROM (SELECT bus, count(*) AS n FROM ({_CLASS_ROWS}) r GROUP BY bus) x WHERE n <> 1")
