@@ -23,7 +23,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT d, min(o) AS least FROM r
 
 def _templates() -> str:
     rows = []
-    for k, (text, label) in enumerate(licenses.PHRASES + licenses.PASSAGES):
+    for k, (text, label) in enumerate(licenses.TEMPLATES):
         words = ", ".join(f"'{w.lower()}'" for w in re.findall(r"[0-9A-Za-z]+", text))
         rows.append(f"({k}, '{label}', {str(k < len(licenses.PHRASES)).lower()}, [{words}])")
     return ", ".join(rows)
@@ -34,11 +34,11 @@ WITH w AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-
 t AS (SELECT template, label, exact, len(tw) - 2 AS n, unnest(range(0, len(tw) - 2)) AS gram, tw FROM (VALUES {_templates()}) AS v(template, label, exact, tw)),
 tg AS (SELECT template, label, exact, n, gram, concat(tw[gram + 1], ' ', tw[gram + 2], ' ', tw[gram + 3]) AS g FROM t),
 r AS (SELECT doc_id, i AS place, concat(w[i + 1], ' ', w[i + 2], ' ', w[i + 3]) AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM w) x),
-v AS (SELECT doc_id, template, place - gram AS diagonal, bit_or(CAST(1 AS BIGINT) << CAST(gram AS BIGINT)) AS votes, min(place) AS f, any_value(n) AS n, any_value(exact) AS exact, any_value(label) AS label FROM r JOIN tg ON r.g = tg.g GROUP BY doc_id, template, place - gram),
+v AS (SELECT doc_id, template, place - gram AS diagonal, list(DISTINCT gram) AS votes, min(place) AS f, max(place) + 2 AS l, any_value(n) AS n, any_value(exact) AS exact, any_value(label) AS label FROM r JOIN tg ON r.g = tg.g GROUP BY doc_id, template, place - gram),
 q AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v),
 i AS (SELECT *, sum(CASE WHEN exact OR before IS NULL OR diagonal - before > {licenses.SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM q),
-m AS (SELECT doc_id, template, island, CAST(bit_count(bit_or(votes)) AS DOUBLE) / any_value(n) AS coverage, min(f) AS f, any_value(exact) AS exact, any_value(label) AS label FROM i GROUP BY doc_id, template, island),
-k AS (SELECT * FROM m WHERE exact AND coverage = 1 OR NOT exact AND coverage >= {licenses.COVERED}),
+m AS (SELECT doc_id, template, island, CAST(len(list_distinct(flatten(list(votes)))) AS DOUBLE) / any_value(n) AS coverage, min(f) AS f, max(l) AS l, any_value(n) AS n, any_value(exact) AS exact, any_value(label) AS label FROM i GROUP BY doc_id, template, island),
+k AS (SELECT * FROM m WHERE exact AND coverage = 1 OR NOT exact AND coverage >= {licenses.COVERED} AND l - f < {licenses.STRETCH} * (n + 2)),
 d AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(f) FILTER (WHERE exact) AS first_word, max(f) FILTER (WHERE exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM k GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id
 """

@@ -592,3 +592,20 @@ def test_helper_names_do_not_clash(spark):
         assert out.columns == names
         got = [tuple(r) for r in out.collect()]
         assert got and set(got) <= known
+
+
+def test_whole_licences_and_word_checks(spark):
+    """A whole licence, copied, reflowed, edited and cut; and grams that only share hashes' table, not words."""
+    mit = licenses.WHOLE[0][0]
+    w = mit.split()
+    edited = " ".join(x for i, x in enumerate(w) if i % 12)  # every twelfth word is gone
+    half = " ".join(w[: len(w) // 3])
+    swapped = " ".join(reversed(w))
+    docs = spark.createDataFrame(list(enumerate([mit, mit.replace(" ", "\n").upper(), f"a b c {edited} d e", half, swapped, f"{mit} x {mit}"])), "doc_id long, text string")
+    whole = len(licenses.PHRASES + licenses.PASSAGES)
+    got = {}
+    for r in licenses.spans(docs).where(F.col("template") == whole).collect():
+        got.setdefault(r["doc_id"], []).append((r["first"], r["coverage"]))
+    assert set(got) == {0, 1, 2, 5} and got[0] == got[1] == [(0, 1.0)] and 0.6 <= got[2][0][1] < 0.9 and len(got[5]) == 2
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert labels[2] == "mit" and labels[3] == "mit" and labels[4] == ""  # a third still holds the opening sentence
