@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
@@ -124,11 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small = [(F.col("quality") == q) & (F.col("use") == u) & (F.shiftrightunsigned("order", 11) <= int(min(1.0, (1.5 * sample + 1000) / c) * 2**53)) for (q, u), c in n.items()]
     if not small:
         return Model(b"good", b"bad", 0.0, 0.0)
-    usable = usable.where(reduce(lambda x, y: x | y, small)).withColumn("rank", F.row_number().over(W.partitionBy("quality", "use").orderBy("order", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "quality", "use", "rank")
+    parts = [usable.where(x).orderBy("order", "doc_id").limit(sample) for x in small]
+    usable = reduce(DataFrame.unionByName, parts).select("doc_id", "quality", "use", F.col("order").alias("rank"))
     # at most 4 * sample ids
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(usable), "doc_id")
     sizes = rows.where("use = 0").groupBy("quality", "rank", "doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()
-    given = [(i, q, x) for q in (1, 0) for i, x in shares([(r["doc_id"], r["n"]) for r in sorted(sizes, key=lambda r: r["rank"]) if r["quality"] == q]).items()]
+    given = [(i, q, x) for q in (1, 0) for i, x in shares([(r["doc_id"], r["n"]) for r in sorted(sizes, key=lambda r: (r["rank"], r["doc_id"])) if r["quality"] == q]).items()]
     if not given:
         return Model(b"good", b"bad", 0.0, 0.0)
     chosen = docs.sparkSession.createDataFrame(given, "doc_id long, quality int, share double")
