@@ -88,25 +88,6 @@ def _(spark: SparkSession) -> DataFrame:
     return m.select("n", F.round("auc", 7).alias("auc"), F.round("brier", 7).alias("brier"), F.round("log_loss", 6).alias("log_loss"), F.round("ece", 7).alias("ece"))
 
 
-def _features(spark: SparkSession) -> DataFrame:
-    t = spark.table("trips").withColumn("label", (F.col("price") > 150000).cast("double"))
-    from pyspark.ml.feature import VectorAssembler
-
-    x = t.select("trip_id", "bus_id", "label", (F.col("price") / 1e5 + F.pmod(F.xxhash64("trip_id"), F.lit(100)) / 100.0).alias("a"), F.col("direction").cast("double").alias("b"))
-    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x)
-
-
-@query("m16_boosted_trees")
-def _(spark: SparkSession) -> DataFrame:
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    x = _features(spark)
-    test = F.pmod(F.xxhash64("bus_id", F.lit(42)), F.lit(10)) < 3
-    model = GBTClassifier(maxIter=10, maxDepth=3, seed=42).fit(x.where(~test))
-    return model.transform(x.where(test)).select("trip_id", "label", vector_to_array("probability")[1].alias("p"))
-
-
 @query("m18_platt_calibration")
 def _(spark: SparkSession) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
