@@ -1,19 +1,26 @@
 """Hashed maximum-entropy language model with a class-factored softmax, trained by distributed gradient steps.
 
-P(word | history) = P(class | history) * P(word | class, history). The HEAD most frequent words fill classes of WITHIN
-words; all others fall by hash into TAIL classes, where P(word | class) is their smoothed share of the class. Both
-softmaxes add rows of hashed feature tables: the word before, the pair before, and (skip) the word before that one.
-
-Training goes over the corpus once, in ROUNDS: the blocks of a round are dealt to tasks, each task makes sparse gradient
-steps from the round's starting weights, and the weights are averaged by tokens, table slice by table slice. Word
-counts come from all training documents. Documents are handled in blocks of BLOCK bytes; a block asks once for the
+Every word of the vocabulary has a path of up to DEPTH choices of one in WIDE: the FREQUENT most frequent words (the end
+of a text is one) fill whole classes in two choices, all others fall by hash into a tail class, a group and a cell. P(word |
+history) is the product of a softmax for each choice, and among the words of one cell the smoothed unigram share. A
+softmax adds the node's unigram bias and three rows of hashed feature tables: of the word before, the pair before and (skip)
+the word before that, each hashed apart for each node.
+
+Training makes ROUNDS updates, each from the gradient over all training documents. Tasks sum how often each weight was observed
+and, at the round's weights, how often it was expected; the sums of all tasks are added, slice by slice, and each weight
+moves along its gradient (observed less expected) by the iterative-scaling step RATE * log((observed + PRIOR) / (expected +
+PRIOR)). At zero weights expectations follow from the biases, so the first update needs no pass of its own. Sums don't
+depend on how documents are dealt to tasks, so neither do scores. Tables have more rows the more tokens there are (`rows_for`).
+
+Word counts come from all training documents. Documents are handled in blocks of BLOCK bytes; a block asks once for the
 count of each of its words, so the count table is joined and never broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,36 +30,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
-from farelane.llm.common import crc32_of_id, materialize
+from farelane.llm.common import crc32_of_id, materialize, partitions_for
 
 BLOCK = 16 << 20
-WITHIN, HEAD, TAIL = 32, 8 * 32 - 1, 8  # the end of a text is a head word too
-CLASSES = (HEAD + 1) // WITHIN + TAIL
-ROWS, ROUNDS, BATCH, RATE, SLICES = 1 << 13, 2, 1 << 14, 0.5, 16
+WIDE, HEADS, DEPTH = 32, 16, 3  # of the first choices, HEADS are classes of frequent words, the others tail classes
+FREQUENT, CELLS = HEADS * WIDE, (WIDE - HEADS) * WIDE * WIDE
+NODE_BITS = (0, 5, 9)  # binary logarithms of the nodes at each depth
+ROUNDS, BATCH, RATE, PRIOR, BOUND, SLICES, TASK = 2, 1 << 13, 0.6, 4.0, 20.0, 16, 128 << 20
+LEAST_ROWS, MOST_ROWS, TOKENS_A_ROW = 11, 15, 13  # binary logarithms
 SMOOTH = 0.1
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 
 
+def rows_for(tokens: int) -> int:
+    """Binary logarithm of a feature table's rows: a row for each 2^TOKENS_A_ROW training tokens, between 2^LEAST_ROWS and 2^MOST_ROWS."""
+    return min(max(math.ceil(math.log2(max(tokens, 1))) - TOKENS_A_ROW, LEAST_ROWS), MOST_ROWS)
+
+
 @dataclass
 class Model:
-    """Weights and the fixed parts: head words sorted by hash, their rank, and the totals of the tail classes."""
+    """Weights and the fixed parts: frequent words sorted by hash, their rank, biases of each choice, and totals of the cells."""
 
     head: np.ndarray
     rank: np.ndarray
-    class_bias: np.ndarray  # (CLASSES,)
-    word_bias: np.ndarray  # (head classes, WITHIN)
-    tail_tokens: np.ndarray
-    tail_types: np.ndarray
-    by_class: np.ndarray  # (3 * ROWS, CLASSES)
-    by_word: np.ndarray  # (2 * ROWS, WITHIN)
-
-    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and its place in the class (-1 in tail classes)."""
+    bias: list[np.ndarray]  # DEPTH arrays (nodes, WIDE)
+    cell_tokens: np.ndarray
+    cell_types: np.ndarray
+    bits: int  # binary logarithm of the rows a feature
+    weights: np.ndarray  # (DEPTH, 3 << bits, WIDE)
+
+    def paths(self, words: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Choice of each word at each depth (frequent words make no third), and its cell (-1 for frequent words)."""
         at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-        known = self.head[at] == words
-        rank = self.rank[at]
-        of = np.where(known, rank // WITHIN, CLASSES - TAIL + (words >> np.uint64(40)).astype(np.int64) % TAIL)
-        return of, np.where(known, rank % WITHIN, -1)
+        frequent = self.head[at] == words
+        rank, cell = self.rank[at], cell_of(words)
+        first = np.where(frequent, rank // WIDE, HEADS + cell // (WIDE * WIDE))
+        second = np.where(frequent, rank % WIDE, cell // WIDE % WIDE)
+        return [first, second, cell % WIDE], np.where(frequent, -1, cell)
+
+
+def cell_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64) % CELLS
 
 
 def sequence(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +85,8 @@ def sequence(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, begin
 
 
-def features(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each token's three features: word before, pair before, word before that (skip)."""
+def features(words: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Hash of each token's three features: word before, pair before, word before that (skip)."""
 
     def back(k: int) -> np.ndarray:
         out = np.empty_like(words)
@@ -81,81 +99,125 @@ def features(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     one, two = back(1), back(2)
     with np.errstate(over="ignore"):
-        pair = tb.mix(one * np.uint64(0x9E3779B97F4A7C15) + two)
-    row = lambda x, k: (x >> np.uint64(64 - 13)).astype(np.int64) + k * ROWS
-    return row(one, 0), row(pair, 1), row(tb.mix(two), 2)
+        return [one, tb.mix(one * np.uint64(0x9E3779B97F4A7C15) + two), tb.mix(two)]
+
+
+def _rows(feature: np.ndarray, node: np.ndarray, depth: int, k: int, bits: int) -> np.ndarray:
+    """Row of feature k in the table of a depth: hash bits of the feature and node, then the node itself."""
+    free = bits - NODE_BITS[depth]
+    with np.errstate(over="ignore"):
+        h = (feature ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(64 - free)).astype(np.int64) << NODE_BITS[depth]) + node + (k << bits)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def choices(model: Model, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """By batch and depth: depth, tokens, the nodes where they choose, their choices, their rows of the three features."""
+    taken, cell = model.paths(words)
+    made = features(words, begin)
+    for i in range(0, len(words), BATCH):
+        at = np.arange(i, min(i + BATCH, len(words)))
+        node = np.zeros(len(at), np.int64)
+        for depth in range(DEPTH):
+            if depth == 1:
+                node = taken[0][at]
+            elif depth == 2:  # groups of tail classes alone
+                at = at[cell[at] >= 0]
+                node = cell[at] // WIDE
+            if len(at):
+                yield depth, at, node, taken[depth][at], [_rows(f[at], node, depth, k, model.bits) for k, f in enumerate(made)]
+
+
+def probabilities(model: Model, depth: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Softmax over the WIDE choices of each token; weights are bounded, so powers can't overflow."""
+    x = np.take(model.bias[depth], node, axis=0)
+    for r in rows:
+        x += np.take(model.weights[depth], r, axis=0)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(WIDE, np.float32)))[:, None]
+    return x
+
+
+class Observed:
+    """How often each weight was used by the choice that was made."""
 
+    def __init__(self, model: Model):
+        self.model, self.tokens, self.sums, self.held = model, 0, np.zeros(model.weights.size, np.float64), []
 
-def _word_rows(cls: np.ndarray, one: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of by_word: the feature hashed with the class."""
-    a = (one * 31 + cls * 2654435761) % ROWS
-    return a, (skip * 31 + cls * 2246822519) % ROWS + ROWS
+    def learn(self, words: np.ndarray, begin: np.ndarray) -> None:
+        self.tokens += len(words)
+        size = self.model.weights[0].size
+        for depth, _, _, choice, rows in choices(self.model, words, begin):
+            self.held += [(depth * size + r * WIDE + choice).astype(np.int32) for r in rows]
+        if sum(map(len, self.held)) > len(self.sums):
+            self.flush()
 
+    def flush(self) -> np.ndarray:
+        if self.held:
+            self.sums += np.bincount(np.concatenate(self.held), minlength=len(self.sums))
+            self.held = []
+        return self.sums
 
-class Trainer:
-    """Sparse gradient ascent from given weights, with one adaptive rate for each row."""
+
+class Expected:
+    """How often the model expects each weight to be used, at its weights."""
 
     def __init__(self, model: Model):
-        self.model, self.tokens = model, 0
-        self.by_class, self.by_word = model.by_class.copy(), model.by_word.copy()
-        self.seen_class, self.seen_word = np.zeros(len(self.by_class), np.float32), np.zeros(len(self.by_word), np.float32)
-
-    @staticmethod
-    def _step(table: np.ndarray, seen: np.ndarray, row: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(row, kind="stable")
-        ordered = row[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total, at = np.add.reduceat(gradient[order], first, axis=0), ordered[first]
-        seen[at] += (total * total).mean(axis=1)
-        table[at] += total * (RATE / np.sqrt(seen[at] + 1))[:, None]
+        self.model, self.tokens, self.sums = model, 0, np.zeros(model.weights.shape, np.float64)
 
     def learn(self, words: np.ndarray, begin: np.ndarray) -> None:
-        m = self.model
-        of, within = m.places(words)
-        rows = features(words, begin)
         self.tokens += len(words)
-        for i in range(0, len(words), BATCH):
-            s = slice(i, i + BATCH)
-            mine = [r[s] for r in rows]
-            gradient = -_softmax(m.class_bias + self.by_class[mine[0]] + self.by_class[mine[1]] + self.by_class[mine[2]])
-            gradient[np.arange(len(gradient)), of[s]] += 1
-            for r in mine:
-                self._step(self.by_class, self.seen_class, r, gradient)
-            known = np.flatnonzero(within[s] >= 0)
-            if len(known):
-                cls = of[s][known]
-                a, b = _word_rows(cls, mine[0][known], mine[2][known])
-                gradient = -_softmax(m.word_bias[cls] + self.by_word[a] + self.by_word[b])
-                gradient[np.arange(len(gradient)), within[s][known]] += 1
-                self._step(self.by_word, self.seen_word, a, gradient)
-                self._step(self.by_word, self.seen_word, b, gradient)
+        for depth, _, node, _, rows in choices(self.model, words, begin):
+            p = probabilities(self.model, depth, node, rows)
+            for k, row in enumerate(rows):
+                small = (row - (k << self.model.bits)).astype(np.uint16)  # 16 bits are sorted by digits
+                order = np.argsort(small, kind="stable")
+                ordered = row[order]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                self.sums[depth][ordered[first]] += np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+
+    def flush(self) -> np.ndarray:
+        return self.sums.ravel()
+
+
+def expected_untrained(model: Model, observed: np.ndarray) -> np.ndarray:
+    """What Expected sums at zero weights: a row's node gives its uses the same odds each time."""
+    out = np.empty_like(observed)
+    for depth, part in enumerate(observed):
+        node = np.arange(part.shape[0]) & ((1 << NODE_BITS[depth]) - 1)
+        out[depth] = part.sum(axis=1, keepdims=True) * np.exp(np.take(model.bias[depth], node, axis=0, mode="clip"))
+    return out
+
+
+def stepped(model: Model, observed: np.ndarray, expected: np.ndarray) -> Model:
+    move = RATE * np.log((observed + PRIOR) / (expected + PRIOR))
+    return replace(model, weights=np.clip(model.weights + move, -BOUND, BOUND).astype(np.float32))
 
 
 def log_likelihood(model: Model, words: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """log10 P of each token; count holds the training count of each."""
-    of, within = model.places(words)
-    rows = features(words, begin)
-    out = np.empty(len(words))
-    for i in range(0, len(words), BATCH):
-        s = slice(i, i + BATCH)
-        a, b, c = (r[s] for r in rows)
-        p = _softmax(model.class_bias + model.by_class[a] + model.by_class[b] + model.by_class[c])
-        p = p[np.arange(len(p)), of[s]].astype(float)
-        known = np.flatnonzero(within[s] >= 0)
-        rest = np.flatnonzero(within[s] < 0)
-        cls = of[s][known]
-        x, y = _word_rows(cls, a[known], c[known])
-        q = _softmax(model.word_bias[cls] + model.by_word[x] + model.by_word[y])
-        p[known] *= q[np.arange(len(q)), within[s][known]]
-        tail = of[s][rest] - (CLASSES - TAIL)
-        p[rest] *= (count[s][rest] + SMOOTH) / (model.tail_tokens[tail] + SMOOTH * (model.tail_types[tail] + 1))
-        out[s] = np.log10(np.maximum(p, 1e-300))
-    return out
+    p = np.ones(len(words))
+    for depth, at, node, choice, rows in choices(model, words, begin):
+        p[at] *= probabilities(model, depth, node, rows)[np.arange(len(at)), choice]
+    cell = model.paths(words)[1]
+    tail = cell >= 0
+    cell = cell[tail]
+    p[tail] *= (count[tail] + SMOOTH) / (model.cell_tokens[cell] + SMOOTH * (model.cell_types[cell] + 1))
+    return np.log10(np.maximum(p, 1e-300))
+
+
+def untrained(frequent: np.ndarray, number: np.ndarray, cell_tokens: np.ndarray, cell_types: np.ndarray, tokens: int) -> Model:
+    """Zero weights and unigram biases; frequent words by rank with their counts, tokens and types of each cell."""
+    order = np.argsort(frequent)
+    heads = np.zeros(FREQUENT)
+    heads[: len(number)] = number
+    mass = (cell_tokens + SMOOTH * (cell_types + 1)).reshape(WIDE - HEADS, WIDE, WIDE)
+    second = np.concatenate([heads.reshape(HEADS, WIDE) + 1e-3, mass.sum(axis=2)])
+    bias = [second.sum(axis=1)[None], second, mass.reshape(-1, WIDE)]
+    bits = rows_for(tokens)
+    return Model(
+        frequent[order], np.arange(len(frequent))[order], [np.log(b / b.sum(axis=1, keepdims=True)).astype(np.float32) for b in bias],
+        cell_tokens, cell_types, bits, np.zeros((DEPTH, 3 << bits, WIDE), np.float32),
+    )
 
 
 # ---- Spark -----------------------------------------------------------------------------------------------------
@@ -204,71 +266,61 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(x)
 
 
-def _pack(model: Trainer) -> Iterator[tuple[int, float, bytes]]:
-    flat = np.concatenate([model.by_class.ravel(), model.by_word.ravel()])
-    for k, part in enumerate(np.array_split(flat, SLICES)):
-        yield k, float(model.tokens), part.tobytes()
-
+def _sums(kind: type, model: Model):
+    """Sums of a task's documents in SLICES parts."""
 
-def _train(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(model)
+        own = kind(model)
         for batch in batches:
             for _, _, words, begin in _words_of(batch):
-                trainer.learn(words, begin)
-        if trainer.tokens:
-            k, n, data = zip(*_pack(trainer), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n), pa.array(data, pa.binary())], ["slice", "tokens", "weights"])
+                own.learn(words, begin)
+        if own.tokens:
+            for k, part in enumerate(np.array_split(own.flush(), SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["slice", "sums"])
 
     return run
 
 
-def _average(parts: pd.DataFrame) -> pd.DataFrame:
-    """Mean of one slice of the weights over tasks, by tokens."""
-    total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for n, w in zip(parts.tokens, parts.weights, strict=True))
-    tokens = float(parts.tokens.sum())
-    return pd.DataFrame({"slice": [int(parts["slice"].iloc[0])], "tokens": [tokens], "weights": [(total / tokens).astype(np.float32).tobytes()]})
+def _added(parts: pd.DataFrame) -> pd.DataFrame:
+    """One slice summed over tasks."""
+    total = sum(np.frombuffer(data, np.float32).astype(np.float64) for data in parts["sums"])
+    return pd.DataFrame({"slice": [int(parts["slice"].iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
+
 
+def _gathered(texts: DataFrame, kind: type, model: Model) -> np.ndarray:
+    schema = "slice int, sums binary"
+    # tasks' sums meet in two steps, so no task gathers those of all others
+    parts = texts.mapInArrow(_sums(kind, model), schema).withColumn("near", F.spark_partition_id() % 64)
+    parts = parts.groupBy("slice", "near").applyInPandas(_added, schema)
+    got = sorted(parts.groupBy("slice").applyInPandas(_added, schema).collect(), key=lambda x: x["slice"])
+    if not got:
+        return np.zeros(model.weights.shape)
+    return np.concatenate([np.frombuffer(x["sums"], np.float32) for x in got]).astype(np.float64).reshape(model.weights.shape)
 
-def _trained(blocks: DataFrame, model: Model) -> Model:
+
+def _trained(blocks: DataFrame, model: Model, tokens: int) -> Model:
+    texts = blocks.where(~F.col("held_out")).select("text").coalesce(partitions_for(blocks.sparkSession, 7.0 * tokens, TASK))
+    observed = _gathered(texts, Observed, model)
+    expected = expected_untrained(model, observed)
     for r in range(ROUNDS):
-        mine = blocks.where(~F.col("held_out") & (F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r)).select("text")
-        parts = mine.mapInArrow(_train(model), "slice int, tokens double, weights binary")
-        # tasks' weights meet in two steps, so no task gathers those of all others
-        parts = parts.withColumn("near", F.spark_partition_id() % 64).groupBy("slice", "near").applyInPandas(_average, "slice int, tokens double, weights binary")
-        got = sorted(parts.groupBy("slice").applyInPandas(_average, "slice int, tokens double, weights binary").collect(), key=lambda x: x["slice"])
-        if got:
-            flat = np.concatenate([np.frombuffer(x["weights"], np.float32) for x in got])
-            cut = model.by_class.size
-            model = Model(model.head, model.rank, model.class_bias, model.word_bias, model.tail_tokens, model.tail_types, flat[:cut].reshape(model.by_class.shape), flat[cut:].reshape(model.by_word.shape))
+        model = stepped(model, observed, _gathered(texts, Expected, model) if r else expected)
     return model
 
 
 def _initial(counts: DataFrame) -> tuple[Model, int, int]:
     """Untrained model with unigram biases; N and V."""
-    signed = int(np.uint64(END).astype(np.int64))
-    top = counts.where(F.col("word") != signed).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    signed = int(END.astype(np.int64))
+    top = counts.where(F.col("word") != signed).orderBy(F.desc("n"), "word").limit(FREQUENT - 1).collect()
     end = counts.where(F.col("word") == signed).collect()
-    words = [r["word"] for r in top]
-    in_tail = counts.where(~F.col("word").isin(words) & (F.col("word") != signed)) if words else counts.where("false")
-    tail = in_tail.groupBy((F.shiftrightunsigned("word", 40) % TAIL).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    frequent = [signed, *(r["word"] for r in top)]
+    cells = counts.where(~F.col("word").isin(frequent)).groupBy((F.shiftrightunsigned("word", 40) % CELLS).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     whole = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    ranked = np.array([signed, *words], np.int64).view(np.uint64)
+    n, v = int(whole[0] or 0), int(whole[1] or 0)
     number = np.array([end[0]["n"] if end else 0, *(r["n"] for r in top)], float)
-    order = np.argsort(ranked)
-    n_head = CLASSES - TAIL
-    by_place = np.zeros(n_head * WITHIN)
-    by_place[: len(number)] = number
-    by_place = by_place.reshape(n_head, WITHIN) + 1e-3
-    tail_tokens, tail_types = np.zeros(TAIL), np.zeros(TAIL)
-    for r in tail:
-        tail_tokens[r["k"]], tail_types[r["k"]] = r["n"], r["v"]
-    mass = np.concatenate([by_place.sum(axis=1), tail_tokens + SMOOTH * (tail_types + 1)])
-    model = Model(
-        ranked[order], np.arange(len(ranked))[order], np.log(mass / mass.sum()).astype(np.float32), np.log(by_place / by_place.sum(axis=1, keepdims=True)).astype(np.float32),
-        tail_tokens, tail_types, np.zeros((3 * ROWS, CLASSES), np.float32), np.zeros((2 * ROWS, WITHIN), np.float32),
-    )
-    return model, int(whole[0] or 0), int(whole[1] or 0)
+    tokens, types = np.zeros(CELLS), np.zeros(CELLS)
+    for r in cells:
+        tokens[r["k"]], types[r["k"]] = r["n"], r["v"]
+    return untrained(np.array(frequent, np.int64).view(np.uint64), number, tokens, types, n), n, v
 
 
 def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +371,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     requests = materialize(blocks.mapInArrow(_requests, "block long, word long, c long"), "lm-words")
     counts = materialize(requests.groupBy("word").agg(F.sum("c").alias("n")), "lm-counts")
     model, n, v = _initial(counts.where("n > 0"))
-    model = _trained(blocks, model)
+    model = _trained(blocks, model, n)
     # a word whose count is that of its block needs no answer
     answers = requests.join(counts, "word").where("n <> c").select("block", "word", "n")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, n, v), schema)

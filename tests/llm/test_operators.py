@@ -376,6 +376,57 @@ def test_maxent_features_look_back_within_the_text():
     assert pair[0] == pair[3] == pair[4] and pair[1] == pair[5] != pair[2]
 
 
+def small_model(bits=11):
+    """Model of a small text with known counts, and its words."""
+    rng = np.random.default_rng(5)
+    vocabulary = rng.integers(1, 2**63, 700).astype(np.uint64)
+    texts = [vocabulary[np.minimum(rng.zipf(1.3, size=int(n)), 700) - 1] for n in rng.integers(0, 40, 60)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    words, begin = maxent.sequence(bounds, np.concatenate(texts))
+    own, count = np.unique(words, return_counts=True)
+    order = np.argsort(-count, kind="stable")[:20]
+    frequent = np.concatenate([[maxent.END], own[order][own[order] != maxent.END]]).astype(np.uint64)
+    number = np.array([count[own == w][0] for w in frequent], float)
+    tail = ~np.isin(own, frequent)
+    cell = maxent.cell_of(own[tail])
+    model = maxent.untrained(frequent, number, np.bincount(cell, count[tail], maxent.CELLS).astype(float), np.bincount(cell, minlength=maxent.CELLS).astype(float), 1)
+    return model, words, begin, count[np.searchsorted(own, words)]
+
+
+def test_maxent_sums_and_probabilities_by_definition():
+    model, words, begin, count = small_model()
+    seen, wanted = maxent.Observed(model), maxent.Expected(model)
+    seen.learn(words, begin), wanted.learn(words, begin)
+    observed = seen.flush().reshape(model.weights.shape)
+    assert np.allclose(maxent.expected_untrained(model, observed), wanted.flush().reshape(model.weights.shape), atol=1e-3)
+    trained = maxent.stepped(model, observed, maxent.expected_untrained(model, observed))
+    got = maxent.log_likelihood(trained, words, begin, count)
+    assert got.sum() > maxent.log_likelihood(model, words, begin, count).sum()
+    frequent, made = {int(w): int(r) for w, r in zip(model.head, model.rank, strict=True)}, maxent.features(words, begin)
+    for i in range(0, len(words), 7):
+        cell = int(words[i] >> np.uint64(40)) % maxent.CELLS
+        rank = frequent.get(int(words[i]))
+        path = [(0, 16 + cell // 1024), (16 + cell // 1024, cell // 32 % 32), (cell // 32, cell % 32)] if rank is None else [(0, rank // 32), (rank // 32, rank % 32)]
+        p = 1.0 if rank is not None else (count[i] + 0.1) / (model.cell_tokens[cell] + 0.1 * (model.cell_types[cell] + 1))
+        for depth, (node, choice) in enumerate(path):
+            x = [float(b) for b in model.bias[depth][node]]
+            for k, f in enumerate(made):
+                row = int(maxent._rows(f[i : i + 1], np.array([node]), depth, k, model.bits)[0])
+                assert row >> model.bits == k and (row & ((1 << maxent.NODE_BITS[depth]) - 1)) == node
+                x = [a + float(b) for a, b in zip(x, trained.weights[depth][row], strict=True)]
+            p *= math.exp(x[choice]) / sum(map(math.exp, x))
+        assert abs(math.log10(p) - got[i]) < 1e-4
+
+
+def test_maxent_scores_held_out_texts_above_unigrams_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = [{r["doc_id"]: r for r in maxent.score_documents(docs.repartition(n)).collect()} for n in (2, 8)]
+    assert got[0].keys() == got[1].keys()
+    assert all(abs(a["score"] - got[1][i]["score"]) < 1e-3 + 1e-5 * abs(a["score"]) for i, a in got[0].items())
+    held = [r for r in got[0].values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_progressive_jpeg_is_lossless(docs, none):
     got = pjpeg.store_texts(docs).collect()
     want = Counter()
