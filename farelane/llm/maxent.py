@@ -36,7 +36,7 @@ BLOCK = 16 << 20
 WIDE, HEADS, DEPTH = 32, 16, 3  # of the first choices, HEADS are classes of frequent words, the others tail classes
 FREQUENT, CELLS = HEADS * WIDE, (WIDE - HEADS) * WIDE * WIDE
 NODE_BITS = (0, 5, 9)  # binary logarithms of the nodes at each depth
-ROUNDS, BATCH, RATE, PRIOR, BOUND, SLICES, TASK = 2, 1 << 13, 0.6, 4.0, 20.0, 16, 128 << 20
+ROUNDS, BATCH, RATE, PRIOR, BOUND, SLICES, TASK, FLUSH = 2, 1 << 13, 0.6, 4.0, 20.0, 16, 128 << 20, 1 << 20
 LEAST_ROWS, MOST_ROWS, TOKENS_A_ROW = 11, 15, 13  # binary logarithms
 SMOOTH = 0.1
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
@@ -159,24 +159,27 @@ class Observed:
 
 
 class Expected:
-    """How often the model expects each weight to be used, at its weights."""
+    """How often the model expects each weight to be used, at its weights. Added up in single precision for FLUSH tokens at a time."""
 
     def __init__(self, model: Model):
-        self.model, self.tokens, self.sums = model, 0, np.zeros(model.weights.shape, np.float64)
+        self.model, self.tokens, self.fresh = model, 0, 0
+        self.sums, self.some = np.zeros(model.weights.size, np.float64), np.zeros(model.weights.size, np.float32)
 
     def learn(self, words: np.ndarray, begin: np.ndarray) -> None:
-        self.tokens += len(words)
+        size, across = self.model.weights[0].size, np.arange(WIDE)
         for depth, _, node, _, rows in choices(self.model, words, begin):
-            p = probabilities(self.model, depth, node, rows)
-            for k, row in enumerate(rows):
-                small = (row - (k << self.model.bits)).astype(np.uint16)  # 16 bits are sorted by digits
-                order = np.argsort(small, kind="stable")
-                ordered = row[order]
-                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                self.sums[depth][ordered[first]] += np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+            p = probabilities(self.model, depth, node, rows).ravel()
+            for row in rows:
+                np.add.at(self.some, (row[:, None] * WIDE + (across + depth * size)).ravel(), p)
+            self.fresh += len(node) if depth == 0 else 0
+            if self.fresh >= FLUSH:
+                self.flush()
+        self.tokens += len(words)
 
     def flush(self) -> np.ndarray:
-        return self.sums.ravel()
+        self.sums += self.some
+        self.some[:], self.fresh = 0, 0
+        return self.sums
 
 
 def expected_untrained(model: Model, observed: np.ndarray) -> np.ndarray:
