@@ -32,6 +32,8 @@ HASHES, ROWS, BATCH = 288, 6, 48
 MISS = 1e-6
 #: A tile holds at most so many members with signatures, so many bytes of sets; pairs are judged so many at a time.
 TILE_ROWS, BLOCK_BYTES, PAIRS = 4096, 8 << 20, 1 << 16
+#: Whole signatures or sets of so many pairs are gathered at a time; from MANY pairs on a tile's sets are compared as bits. Rows that are read at a time.
+GATHER, MANY, READ = 1 << 12, 64, 1 << 11
 
 
 @lru_cache
@@ -120,9 +122,12 @@ def _by_run(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         now = pa.Table.from_batches([batch])
         held = now if held is None else pa.concat_tables([held, now])
         starts = _starts(held, keys)
-        if len(starts) > 1:
-            yield held.slice(0, int(starts[-1])), starts
-            held = held.slice(int(starts[-1]))
+        a = 0
+        while a < len(starts) - 1:  # a few runs at a time, as readers copy what they read
+            b = min(max(a + 1, int(np.searchsorted(starts, starts[a] + READ, "right")) - 1), len(starts) - 1)
+            yield held.slice(int(starts[a]), int(starts[b] - starts[a])), starts[a : b + 1] - starts[a]
+            a = b
+        held = held.slice(int(starts[-1]))
     if held is not None and held.num_rows:
         yield held, np.append(_starts(held, keys), held.num_rows)
 
@@ -142,11 +147,11 @@ def _pairs(col: pa.ChunkedArray) -> np.ndarray:
     return tb.column_bytes(col)[0].view(">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def _likely(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, apart, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, apart, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (left, right) that apart(left, right) admits and whose signatures, read in batches, keep the posterior
-    probability of similarity >= percent/100 at MISS or more; and how many minima they share."""
+    probability of similarity >= percent/100 at MISS or more; and how many minima they share. At most about PAIRS at a time:
+    of a tile's members nearly all pairs can be likely, and are never held at once."""
     need = needed_matches(percent / 100, MISS, BATCH, HASHES)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     low = np.ascontiguousarray(sig[:, :BATCH].astype(np.uint8))  # of the first batch the lowest byte: at most more matches
     step = max(1, PAIRS // max(1, len(right)))
     for at in range(0, len(left), step):
@@ -169,56 +174,62 @@ def _likely(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarr
                 seen += (sig[i, cut] == sig[j, cut]).sum(axis=1)
                 keep = seen >= least
                 i, j, seen = i[keep], j[keep], seen[keep]
-            out.append((i, j, seen))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            if len(i):
+                yield i, j, seen
 
 
 def _first_band(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
     """Whether `band` is the first that a pair shares; so a pair is judged in one bucket only."""
-    own = int(np.flatnonzero(band_keys(sig[i[0]]).view(np.int64) == band)[0])
-    same = (sig[i].reshape(len(i), -1, ROWS) == sig[j].reshape(len(j), -1, ROWS)).all(axis=2)
-    return same.argmax(axis=1) == own
-
-
-def _confirmed(raw: np.ndarray, off: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, seen: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of similarity >= percent/100 on the full sets, likeliest first; two components that pairs before have joined
-    are not joined again."""
-    bits = _bits(raw, off, np.unique(np.concatenate([i, j]))) if len(i) >= 64 else None
-    order = np.argsort(-seen, kind="stable")
-    if bits is not None:
-        row, table, size = bits
-        keep, step = [], max(1, BLOCK_BYTES // (8 * table.shape[1] + 1))
-        for at in range(0, len(order), step):
-            q = order[at : at + step]
-            x, y = row[i[q]], row[j[q]]
-            both = np.bitwise_count(table[x] & table[y]).sum(axis=1, dtype=np.int64)
-            keep.append(q[100 * both >= percent * (size[x] + size[y] - both)])
-        order = np.concatenate(keep)
-    root: dict[tuple, tuple] = {}
-
-    def find(x: tuple) -> tuple:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    out = []
-    for q in order:
-        a, b = find(tuple(comp[i[q]])), find(tuple(comp[j[q]]))
-        if a == b:
-            continue
-        if bits is None:
-            x, y = (raw[off[p] : off[p + 1]].view(np.uint64) for p in (i[q], j[q]))
-            place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[place] == y).sum())
-            if 100 * both < percent * (len(x) + len(y) - both):
-                continue
-        root[a] = b
-        out.append((i[q], j[q]))
+    own, out = int(np.flatnonzero(band_keys(sig[i[0]]).view(np.int64) == band)[0]), np.empty(len(i), bool)
+    for at in range(0, len(i), GATHER):
+        x, y = i[at : at + GATHER], j[at : at + GATHER]
+        same = (sig[x].reshape(len(x), -1, ROWS) == sig[y].reshape(len(y), -1, ROWS)).all(axis=2)
+        out[at : at + GATHER] = same.argmax(axis=1) == own
     return out
 
 
+class _Joined:
+    """Components of a tile's members [s, e), as confirmed pairs join them: two that earlier pairs have joined aren't joined again."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, comp: np.ndarray, s: int, e: int, percent: int):
+        self.raw, self.off, self.s, self.e, self.percent = raw, off, s, e, percent
+        self.label = np.unique(comp[s:e], axis=0, return_inverse=True)[1].ravel()
+        self.pairs, self.bits = 0, None
+
+    def _similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        row, table, size = self.bits
+        x, y = row[x + self.s], row[y + self.s]
+        both = np.bitwise_count(table[x] & table[y]).sum(axis=1, dtype=np.int64)
+        return 100 * both >= self.percent * (size[x] + size[y] - both)
+
+    def _alike(self, p: int, q: int) -> bool:
+        x, y = (self.raw[self.off[m + self.s] : self.off[m + self.s + 1]].view(np.uint64) for m in (p, q))
+        place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        both = int((x[place] == y).sum())
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
+    def links(self, i: np.ndarray, j: np.ndarray, seen: np.ndarray) -> list[tuple[int, int]]:
+        """Of these pairs, likeliest first, those of similarity >= percent/100 on the full sets that join two components."""
+        if self.pairs < MANY <= self.pairs + len(i):  # bits of all sets pay from here on
+            self.bits = _bits(self.raw, self.off, np.arange(self.s, self.e))
+        self.pairs += len(i)
+        order = np.argsort(-seen, kind="stable")
+        i, j, label, out = i[order] - self.s, j[order] - self.s, self.label, []
+        step = GATHER if self.bits is None else min(GATHER, max(1, BLOCK_BYTES // (8 * self.bits[1].shape[1] + 1)))
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
+            open_ = label[x] != label[y]
+            x, y = x[open_], y[open_]
+            if self.bits is not None and len(x):
+                good = self._similar(x, y)
+                x, y = x[good], y[good]
+            for p, q in zip(x, y, strict=True):
+                if label[p] != label[q] and (self.bits is not None or self._alike(p, q)):
+                    label[label == label[q]] = label[p]
+                    out.append((int(p) + self.s, int(q) + self.s))
+        return out
+
+
 def _bits(raw: np.ndarray, off: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(row of each member, sets as bits over the shingles that two or more members have, set sizes); None if too large."""
     sets = [raw[off[p] : off[p + 1]].view(np.uint64) for p in members]
@@ -266,16 +277,20 @@ def _judge(percent: int, exact: bool):
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 at = np.arange(s, e)
                 left, right = at[np.isin(side[s:e], (0, 2))], at[np.isin(side[s:e], (1, 2, 3))]
-                i, j, seen = _likely(sig, size, left, right, apart, percent)
-                if banded and len(i):
-                    keep = _first_band(sig, i, j, int(key[s]))
-                    i, j, seen = i[keep], j[keep], seen[keep]
-                if not len(i):
-                    continue
+                joined, hit = None, np.zeros(e - s, bool)
+                for i, j, seen in _likely(sig, size, left, right, apart, percent):
+                    if banded:
+                        keep = _first_band(sig, i, j, int(key[s]))
+                        i, j, seen = i[keep], j[keep], seen[keep]
+                    if not len(i):
+                        continue
+                    if not exact:
+                        hit[i - s] = hit[j - s] = True
+                        continue
+                    joined = joined or _Joined(raw, off, comp, int(s), int(e), percent)
+                    found += joined.links(i, j, seen)
                 if not exact:
-                    found.append(np.unique(np.concatenate([i, j])))
-                    continue
-                found += _confirmed(raw, off, comp, i, j, seen, percent)
+                    found.append(np.flatnonzero(hit) + s)
             if exact:
                 cols = [names.take(pa.array([f[k] for f in found], pa.int64())).combine_chunks() for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, ["a", "b"])

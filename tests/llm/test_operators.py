@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -660,3 +661,27 @@ def test_whole_licences_and_word_checks(spark):
     assert set(got) == {0, 1, 2, 5} and got[0] == got[1] == [(0, 1.0)] and 0.6 <= got[2][0][1] < 0.9 and len(got[5]) == 2
     labels = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
     assert labels[2] == "mit" and labels[3] == "mit" and labels[4] == ""  # a third still holds the opening sentence
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_tile_of_likely_pairs_is_judged_in_bounded_memory(exact):
+    """Six hundred near copies below the threshold share a bucket: nearly all 180,000 pairs are likely, none links."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 63, 180, dtype=np.uint64)
+    sets, sigs = [], []
+    while len(sets) < 600:
+        own = np.unique(np.concatenate([base[:140], rng.integers(1, 1 << 63, 40, dtype=np.uint64)]))
+        sets.append(own)
+        sigs.append(near_dedup.signature(own))
+    for s in sigs:
+        s[: near_dedup.ROWS] = sigs[0][: near_dedup.ROWS]
+        s[near_dedup.ROWS : 230] = sigs[0][near_dedup.ROWS : 230]
+    band = int(near_dedup.band_keys(sigs[0]).view(np.int64)[0])
+    names = [i.to_bytes(16, "big") for i in range(len(sets))]
+    cols = {"key": pa.array([band] * 600), "l": pa.array([0] * 600), "r": pa.array([0] * 600), "side": pa.array([2] * 600), "node": pa.array(names), "comp": pa.array(names), "size": pa.array([len(s) for s in sets]), "sig": pa.array([s.tobytes() for s in sigs]), "shingles": pa.array([s.tobytes() for s in sets])}
+    batch = pa.RecordBatch.from_pydict(cols)
+    tracemalloc.start()
+    got = [b.num_rows for b in near_dedup._judge(80, exact)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got) == (0 if exact else 600) and peak < 100 << 20
