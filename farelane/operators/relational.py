@@ -70,7 +70,10 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], start_a: str, end_a:
 
 
 def near(a: DataFrame, b: DataFrame, xa: str, ya: str, ta: str, xb: str, yb: str, tb: str, radius: float, seconds: float) -> DataFrame:
-    """Pairs within radius and seconds: b is dealt to its 27 neighbouring grid cells, then the exact test."""
+    """Pairs within radius and seconds: b is dealt to its 27 neighbouring grid cells, then the exact test.
+
+    Both sides are sorted by cell: estimates don't see the 27 copies, so neither may be broadcast.
+    """
     cell = lambda c, w: F.floor(F.col(c) / w)
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     left = a.withColumns({"_cx": cell(xa, radius), "_cy": cell(ya, radius), "_ct": cell(ta, seconds)})
@@ -78,7 +81,7 @@ def near(a: DataFrame, b: DataFrame, xa: str, ya: str, ta: str, xb: str, yb: str
     for name, col, width in (("_cx", xb, radius), ("_cy", yb, radius), ("_ct", tb, seconds)):
         right = right.withColumn("_d", F.explode(around)).withColumn(name, cell(col, width) + F.col("_d")).drop("_d")
     dx, dy = F.col(xa) - F.col(xb), F.col(ya) - F.col(yb)
-    return left.join(right, ["_cx", "_cy", "_ct"]).where((dx * dx + dy * dy <= radius * radius) & (F.abs(F.col(ta) - F.col(tb)) <= seconds)).drop("_cx", "_cy", "_ct")
+    return left.hint("merge").join(right, ["_cx", "_cy", "_ct"]).where((dx * dx + dy * dy <= radius * radius) & (F.abs(F.col(ta) - F.col(tb)) <= seconds)).drop("_cx", "_cy", "_ct")
 
 
 # ---- windows and selections ------------------------------------------------------------------------------------------
