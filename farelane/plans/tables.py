@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from farelane.functions import scalars as S
 from farelane.operators import matching as M
 from farelane.operators import relational as R
+from farelane.operators import tallies as T
 from farelane.plans.catalog import plain, query
 
 # ---- derived tables ------------------------------------------------------------------------------------------------
@@ -71,11 +72,7 @@ plain("g21_pattern_variants", "SELECT route_id, kinds, n, CAST(row_number() OVER
 
 @query("m13_contestedness", "SELECT t.trip_id, count(DISTINCT b.bus_id) AS rivals FROM trips t LEFT JOIN trips b ON b.route_id = t.route_id AND b.trip_date = t.trip_date AND b.bus_id <> t.bus_id AND b.opened < t.closed AND b.closed > t.opened GROUP BY t.trip_id")
 def _(spark: SparkSession) -> DataFrame:
-    t = spark.table("trips").select("trip_id", "bus_id", "route_id", "trip_date", "opened", "closed")
-    other = t.select("route_id", "trip_date", F.col("bus_id").alias("rival"), F.col("opened").alias("o2"), F.col("closed").alias("c2"))
-    met = R.overlapping(t, other, ["route_id", "trip_date"], "opened", "closed", "o2", "c2", 30 * 86400.0).where("rival <> bus_id")
-    n = met.groupBy("trip_id").agg(F.countDistinct("rival").alias("rivals"))
-    return t.select("trip_id").join(n, "trip_id", "left").na.fill(0, ["rivals"])
+    return T.distinct_overlapping(spark.table("trips"), ["route_id", "trip_date"], "trip_id", "bus_id", "opened", "closed", "rivals")
 
 
 
