@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from farelane.functions import geo as G
 from farelane.operators import relational as R
+from farelane.operators import tallies as T
 
 PAIR = ["bus_id", "device_id"]
 # Fixed values.
@@ -27,13 +28,11 @@ def candidates(buses: DataFrame, devices: DataFrame, dictionary: DataFrame, runn
     """(date, bus_id, device_id, overlap_count, from_blocking, from_dictionary): the `top` devices that share most cells with a
     bus on a date (ties by device), and every pair of the dictionary on dates the bus runs.
 
-    buses, devices: date, cell_x, cell_y, time_bucket and their id, one row a cell. Cells are equality keys, so a crowded cell is
-    the only place where many meet; each side is counted once a cell.
+    buses, devices: date, cell_x, cell_y, time_bucket and their id; repeated rows count once. Pairs are counted in tiles of a date and
+    never listed, however many meet in a crowded cell.
     """
     cell = ["date", "cell_x", "cell_y", "time_bucket"]
-    met = buses.select(*cell, "bus_id").distinct().join(devices.select(*cell, "device_id").distinct(), cell)
-    overlap = met.groupBy("date", "bus_id", "device_id").agg(F.count(F.lit(1)).alias("overlap_count"))
-    best = R.top_per(overlap, ["date", "bus_id"], top, F.desc("overlap_count"), F.col("device_id")).drop("rank").withColumn("from_blocking", F.lit(True))
+    best = T.most_shared(buses, devices, "date", cell[1:], "bus_id", "device_id", top, "overlap_count").withColumn("from_blocking", F.lit(True))
     named = running.select("date", "bus_id").distinct().join(dictionary.select(*PAIR).distinct(), "bus_id").withColumn("from_dictionary", F.lit(True))
     out = best.join(named, ["date", "bus_id", "device_id"], "full")
     return out.select("date", *PAIR, "overlap_count", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("from_blocking", "from_dictionary")])
