@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from farelane.functions import scalars as S
 from farelane.operators import matching as M
 from farelane.operators import pairs as P
+from farelane.session import scratch
 
 #: Stands for a missing feature: trees split it off from all measured ones.
 MISSING = -1e6
@@ -104,12 +105,19 @@ def importance(scorer: Scorer) -> list[tuple[str, float]]:
     return sorted(zip(scorer.features, map(float, scorer.model.stages[-1].featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def search(rows: DataFrame, features: list[str], group: str, grid: dict[str, list], keep: list[int], label: str = "label", n_folds: int = 5) -> DataFrame:
     """(params, n_features, features, auc, log_loss, brier) of every point of the grid with the `keep` most important features, by
-    cross-validation over group folds, the least log loss first. Importance comes from one fit on all features."""
+    cross-validation over group folds, the least log loss first. Importance comes from one fit on all features. Rows and each
+    candidate's scores are written once, as fits and measures read them many times."""
     spark = rows.sparkSession
-    order = [f for f, _ in importance(fit(rows, features, label))]
-    folded = P.folds(rows, group, n_folds)
+    folded = _written(P.folds(rows, group, n_folds).select("fold", label, *features), "folds")
+    order = [f for f, _ in importance(fit(folded, features, label))]
     out = []
     for values in itertools.product(*grid.values()):
         params = dict(zip(grid, values, strict=True))
@@ -118,7 +126,7 @@ def search(rows: DataFrame, features: list[str], group: str, grid: dict[str, lis
             for f in range(n_folds):
                 part = fit(folded.where(F.col("fold") != f), own, label, params).raw(folded.where(F.col("fold") == f)).select(label, "score")
                 parts = part if parts is None else parts.unionByName(part)
-            m = evaluate(parts, label).first()
+            m = evaluate(_written(parts, "scores"), label).first()
             out.append((json.dumps(params, sort_keys=True), k, own, m["auc"], m["log_loss"], m["brier"]))
     schema = "params string, n_features int, features array<string>, auc double, log_loss double, brier double"
     return spark.createDataFrame(out, schema).orderBy("log_loss", "n_features", "params")

@@ -51,3 +51,16 @@ def test_cycle_keeps_model_and_figures(spark, rows, tmp_path):
     assert scorer.score(rows.limit(3)).where(F.col("score").between(0, 1)).count() == 3
     with pytest.raises(LookupError):
         T.load(spark, str(tmp_path), "month")
+
+
+def test_search_reads_its_rows_few_times(spark, rows):
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        n.add(1)
+        return x
+
+    seen = rows.withColumn("a", counted("a"))
+    T.search(seen, ["a", "c"], "bus", {"maxDepth": [1], "maxIter": [1]}, [1, 2], n_folds=2).collect()
+    assert 1200 <= n.value <= 3 * 1200
