@@ -6,7 +6,10 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,30 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of longs: true for all that the column holds and for few others (a Bloom filter of 16 bits a key, 4 MB at most).
+
+    Rows that fail it need no join with keys. keys is read twice and should be a written table.
+    """
+    spark = keys.sparkSession
+    bits = min(max(math.ceil(math.log2(16 * keys.count() + 1)), 13), 25)
+    slots = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("h"))
+    got = slots.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(1 << bits - 6, np.int64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    held = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def seen(key: pd.Series) -> pd.Series:
+        out, h = np.ones(len(key), bool), key.to_numpy().astype(np.int64).view(np.uint64)
+        for part in (h, h >> np.uint64(32)):
+            i = (part & np.uint64((1 << bits) - 1)).astype(np.int64)
+            out &= (held.value[i >> 6] >> (i & 63) & 1).astype(bool)
+        return pd.Series(out)
+
+    return seen
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

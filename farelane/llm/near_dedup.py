@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
-from farelane.llm.common import drop_table, materialize, unused
+from farelane.llm.common import drop_table, materialize, maybe_in, unused
 
 HASHES, ROWS, BATCH = 288, 6, 48
 MISS = 1e-6
@@ -364,21 +364,23 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ids = each.select("doc_id", "mark", "n_shingles", "node")
     nodes = each.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     member = materialize(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
-    bucket = member.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(member.join(bucket, "band").select("band", "node", "size", "hub"), "buckets")
+    often = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")  # most bands are alone: they move without names
+    held = materialize(member.join(often, "band", "left_semi"), "often")
     drop_table(spark, member)
+    shared = materialize(held.join(held.groupBy("band").agg(F.min("node").alias("hub")), "band").select("band", "node", "size", "hub"), "buckets")
+    drop_table(spark, held)
 
     # one text of each candidate node is read again for its whole set
     wanted = each.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
-    wanted = wanted.select("node", F.col("lead.doc_id").alias("_id"), F.col("lead.text_key").alias("_key"))
-    again = docs.join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
+    wanted = materialize(wanted.select("node", F.col("lead.doc_id").alias("_id"), F.col("lead.text_key").alias("_key")), "wanted")
+    again = docs.where(maybe_in(wanted, "_key")(F.col("text_key"))).join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(again.mapInArrow(_sets(k), "node binary, sig binary, shingles binary"), "sets")
     comp = _link(shared, sets, percent)
     named = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     out = materialize(named.select("doc_id", "mark", "n_shingles", "node", "comp", "component_id"), "named")
-    for done in (each, shared, sets, comp):
+    for done in (each, shared, sets, comp, wanted):
         drop_table(spark, done)
     return out
 
@@ -421,16 +423,19 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = named.where("doc_id <=> component_id").groupBy("comp").agg(F.min("mark").alias("first"))
     judged = named.join(first, "comp").withColumn("keep", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first")))
     again = judged.where("keep").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
-    others = judged.where("not keep").select("doc_id", "mark").distinct()
+    others = judged.where("not keep").select("doc_id", "mark")
     own, of_id, of_mark = unused(docs, "own", "id", "mark")
     rows = docs.withColumn(own, key)
 
-    def those(keys: DataFrame, how: str) -> DataFrame:
+    def those(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
         named_keys = keys.select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark))
         return rows.join(named_keys, (F.col(own) == F.col(of_mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)), how)
 
     again = materialize(again, "repeated")
-    one_each = those(others.union(again), "left_anti").select(*docs.columns)
+    drop = materialize(others.union(again).distinct(), "dropped")
+    maybe = maybe_in(drop, "mark")(F.col(own))
+    # only rows that may be dropped are joined; all others stay as they lie
+    one_each = rows.where(~maybe).unionByName(those(drop, "left_anti", rows.where(maybe))).select(*docs.columns)
     if again.isEmpty():
         return one_each
-    return one_each.unionByName(those(again, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns))
+    return one_each.unionByName(those(again, "left_semi", rows).dropDuplicates(["doc_id", own]).select(*docs.columns))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from farelane.llm import decontam, encoding, licenses, maxent, mixing, near_dedup, pjpeg, quality, secrets, sharding, sstable
 from farelane.llm import textbytes as tb
+from farelane.llm.common import maybe_in
 from farelane.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -685,3 +686,12 @@ def test_a_tile_of_likely_pairs_is_judged_in_bounded_memory(exact):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(got) == (0 if exact else 600) and peak < 100 << 20
+
+
+def test_rows_that_no_key_names_are_not_joined(spark):
+    keys = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    seen = maybe_in(keys, "h")
+    got = spark.range(20000).select("id", F.xxhash64("id").alias("h")).where(seen(F.col("h"))).select("id").collect()
+    ids = {r["id"] for r in got}
+    assert set(range(2000)) <= ids and len(ids) < 2700
+    assert spark.range(5).where(maybe_in(keys.limit(0), "h")(F.col("id"))).count() == 0
