@@ -12,8 +12,10 @@ moves along its gradient (observed less expected) by the iterative-scaling step
 PRIOR)). At zero weights expectations follow from the biases, so the first update needs no pass of its own. Sums don't
 depend on how documents are dealt to tasks, so neither do scores. Tables have more rows the more tokens there are (`rows_for`).
 
-Word counts come from all training documents. Documents are handled in blocks of BLOCK bytes; a block asks once for the
-count of each of its words, so the count table is joined and never broadcast.
+Word counts come from all training documents. Texts are hashed once and kept in blocks of BLOCK bytes of text: the block's distinct
+words and, for each token, its place among these, both packed. A block sends its words and their own counts, cut into buckets
+by hash, to be added up; what comes back are bare numbers in the order of the words (how often each occurs in other blocks),
+so no table of words is joined or broadcast, and texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from farelane.llm import textbytes as tb
 from farelane.llm.common import crc32_of_id, materialize, partitions_for
 
-BLOCK = 16 << 20
+BLOCK, PIECE, ASKED = 16 << 20, 1 << 17, 1 << 20  # bytes of text a block; tokens handled at once; words a bucket
+TURN = 10  # bits by which words are turned for their order, so that cells ascend (see cell_of)
 WIDE, HEADS, DEPTH = 32, 16, 3  # of the first choices, HEADS are classes of frequent words, the others tail classes
 FREQUENT, CELLS = HEADS * WIDE, (WIDE - HEADS) * WIDE * WIDE
 NODE_BITS = (0, 5, 9)  # binary logarithms of the nodes at each depth
@@ -163,17 +166,20 @@ class Expected:
 
     def __init__(self, model: Model):
         self.model, self.tokens, self.sums = model, 0, np.zeros(model.weights.shape, np.float64)
+        self.place = np.zeros(1 << model.bits, np.int64)
 
     def learn(self, words: np.ndarray, begin: np.ndarray) -> None:
         self.tokens += len(words)
         for depth, _, node, _, rows in choices(self.model, words, begin):
-            p = probabilities(self.model, depth, node, rows)
+            p = probabilities(self.model, depth, node, rows).astype(np.float64).ravel()
             for k, row in enumerate(rows):
-                small = (row - (k << self.model.bits)).astype(np.uint16)  # 16 bits are sorted by digits
-                order = np.argsort(small, kind="stable")
-                ordered = row[order]
-                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                self.sums[depth][ordered[first]] += np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+                row = row - (k << self.model.bits)
+                seen = np.zeros(1 << self.model.bits, bool)
+                seen[row] = True
+                own = np.flatnonzero(seen)
+                self.place[own] = np.arange(0, len(own) * WIDE, WIDE)
+                at = (self.place[row][:, None] + np.arange(WIDE)).ravel()
+                self.sums[depth][own + (k << self.model.bits)] += np.bincount(at, p, len(own) * WIDE).reshape(-1, WIDE)
 
     def flush(self) -> np.ndarray:
         return self.sums.ravel()
@@ -221,49 +227,129 @@ def untrained(frequent: np.ndarray, number: np.ndarray, cell_tokens: np.ndarray,
 
 
 # ---- Spark -----------------------------------------------------------------------------------------------------
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, size = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        _, off = tb.column_bytes(batch.column("text"))
-        block = (part << 24) + (size + off[:-1]) // BLOCK
-        size += int(off[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int64())], [*batch.schema.names, "block"])
+def _turned(words: np.ndarray, bits: int = TURN) -> np.ndarray:
+    return (words << np.uint64(bits)) | (words >> np.uint64(64 - bits))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers of 0 or more as compressed byte planes, with their number and how many planes there are ahead."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    wide = max((int(x.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    return np.array([len(x), wide], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, wide = (int(x) for x in np.frombuffer(data, "<i8", 2))
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.Codec("zstd").decompress(memoryview(data)[16:], decompressed_size=n * wide)
+        out[:, :wide] = np.frombuffer(planes, np.uint8).reshape(wide, n).T
+    return out.view("<u8").ravel()
+
 
+def _steps(ascending: np.ndarray) -> bytes:
+    return _packed(np.diff(ascending, prepend=np.uint64(0)))
 
-def _words_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw, off = tb.column_bytes(batch.column("text"))
-    for i, j, bounds, h in tb.word_hashes(raw, off):
-        yield i, j, *sequence(bounds, h)
 
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, size array<long>, words binary, c binary, place binary, n_words long"
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, c): each word of each block once a task, with its count in training documents."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        words, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        own, inverse = np.unique(words, return_inverse=True)
-        return own, np.bincount(inverse, count, len(own)).astype(np.int64)
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its documents and their tokens' number, its turned words ascending, their count in training documents, the place of each token."""
+    part, k, size = TaskContext.get().partitionId(), 0, 0
+    docs: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def out(block: int) -> pa.RecordBatch:
-        words, count = merged(held.pop(block))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words.view(np.int64)), pa.array(count)], ["block", "word", "c"])
+    def out() -> pa.RecordBatch:
+        held_out, sizes, words = (np.concatenate(x) for x in list(zip(*docs, strict=True))[1:])
+        made = pa.array(words).dictionary_encode()
+        own = _turned(made.dictionary.to_numpy())
+        order, place = np.argsort(own), np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        place = place[made.indices.to_numpy()]
+        c = np.bincount(place, np.repeat(~held_out, sizes), len(own)).astype(np.int64)
+        lists = [pa.ListArray.from_arrays([0, len(sizes)], x) for x in (pa.concat_arrays([d[0] for d in docs]), pa.array(held_out, pa.bool_()), pa.array(sizes, pa.int64()))]
+        data = [pa.array([x], pa.binary()) for x in (_steps(own[order]), _packed(c), _packed(place))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(part << 24) + k], pa.int64()), *lists, *data, pa.array([len(own)], pa.int64())],
+            ["block", "doc_id", "held_out", "size", "words", "c", "place", "n_words"],
+        )
 
     for batch in batches:
-        block, held_out = batch.column("block").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
-        for i, j, words, begin in _words_of(batch):
-            b, learn = np.repeat(block[i:j], np.diff(begin)), np.repeat(~held_out[i:j], np.diff(begin))
-            for x in np.unique(b):
-                own, inverse = np.unique(words[b == x], return_inverse=True)
-                parts = held.setdefault(int(x), [])
-                parts.append((own, np.bincount(inverse, learn[b == x], len(own)).astype(np.int64)))
-                if len(parts) >= 16:
-                    held[int(x)] = [merged(parts)]
-        last = int(block[-1]) if len(block) else -1
-        for x in [x for x in held if x != last]:
-            yield out(x)
-    for x in list(held):
-        yield out(x)
+        raw, off = tb.column_bytes(batch.column("text"))
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for i, j, bounds, h in tb.word_hashes(raw, off):
+            words, begin = sequence(bounds, h)
+            docs.append((batch.column("doc_id").slice(i, j - i), held[i:j], np.diff(begin), words))
+            size += int(off[j] - off[i]) + 16 * (j - i)
+            if size >= BLOCK:
+                yield out()
+                docs, k, size = [], k + 1, 0
+    if docs:
+        yield out()
+
+
+def _asked(buckets: int):
+    """A row for each block and bucket with words: the words ascending, and their counts in the block."""
+    edges = np.array([-(-(b << 30) // buckets) << 34 for b in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, c in zip(*(batch.column(x) for x in ("block", "words", "c")), strict=True):
+                words, c = np.cumsum(_unpacked(words.as_py()), dtype=np.uint64), _unpacked(c.as_py())
+                cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+                data = [pa.array([f(x[cut[b] : cut[b + 1]]) for b in some], pa.binary()) for f, x in ((_steps, words), (_packed, c))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block.as_py()] * len(some), pa.int64()), *data], ["bucket", "block", "words", "c"])
+
+    return run
+
+
+def _counted(asked: pa.Table) -> pa.Table:
+    """One bucket: for each block, how often each word it asked for occurs in training documents of other blocks; and, without a block, the bucket's summary."""
+    words = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in asked.column("words")]
+    c = np.concatenate([_unpacked(x.as_py()) for x in asked.column("c")]).astype(np.int64)
+    own, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(inverse, c, len(own)).astype(np.int64)
+    rest = np.split(n[inverse] - c, np.cumsum([len(x) for x in words])[:-1])
+    data = [*(_packed(x) for x in rest), _summary(_turned(own[n > 0], 64 - TURN), n[n > 0])]
+    block = asked.column("block").to_pylist()
+    return pa.table({"bucket": pa.array([asked.column("bucket")[0].as_py()] * len(data), pa.int32()), "block": pa.array([*block, None], pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _most(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the FREQUENT - 1 most frequent words but END are, and END; equal counts by the signed hash."""
+    at = np.flatnonzero(words != END)
+    if len(at) >= FREQUENT:
+        at = at[n[at] >= np.partition(n[at], -(FREQUENT - 1))[-(FREQUENT - 1)]]
+    at = at[np.lexsort((words[at].view(np.int64), -n[at]))][: FREQUENT - 1]
+    return np.concatenate([np.flatnonzero(words == END), at])
+
+
+def _summary(words: np.ndarray, n: np.ndarray) -> bytes:
+    """Most frequent words and their counts; then cells with their tokens and types."""
+    most, cell = _most(words, n), cell_of(words)
+    cells, of = np.unique(cell, return_inverse=True)
+    tokens, types = np.bincount(of, n, len(cells)).astype(np.int64), np.bincount(of, minlength=len(cells))
+    return np.concatenate([[len(most)], words[most].view(np.int64), n[most], cells, tokens, types]).astype(np.int64).tobytes()
+
+
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: ids, held_out and number of tokens of its documents, its words, the place of each token."""
+    for i in range(batch.num_rows):
+        doc_id, held_out, size = (batch.column(x)[i].values for x in ("doc_id", "held_out", "size"))
+        words = np.cumsum(_unpacked(batch.column("words")[i].as_py()), dtype=np.uint64)
+        place = _unpacked(batch.column("place")[i].as_py()).astype(np.int64)
+        yield doc_id, held_out.to_numpy(zero_copy_only=False).astype(bool), size.to_numpy(), _turned(words, 64 - TURN), place
+
+
+def _pieces(size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Documents i..j-1 with about PIECE tokens or one alone, and where each begins and the last ends."""
+    begin, i = np.concatenate([[0], np.cumsum(size)]), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + PIECE, "right")) - 1)
+        yield i, j, begin[i : j + 1]
+        i = j
 
 
 def _sums(kind: type, model: Model):
@@ -272,8 +358,10 @@ def _sums(kind: type, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kind(model)
         for batch in batches:
-            for _, _, words, begin in _words_of(batch):
-                own.learn(words, begin)
+            for _, held_out, size, words, place in _blocks_of(batch):
+                place, size = place[np.repeat(~held_out, size)], size[~held_out]
+                for _, _, begin in _pieces(size):
+                    own.learn(words[place[begin[0] : begin[-1]]], begin - begin[0])
         if own.tokens:
             for k, part in enumerate(np.array_split(own.flush(), SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["slice", "sums"])
@@ -299,7 +387,7 @@ def _gathered(texts: DataFrame, kind: type, model: Model) -> np.ndarray:
 
 
 def _trained(blocks: DataFrame, model: Model, tokens: int) -> Model:
-    texts = blocks.where(~F.col("held_out")).select("text").coalesce(partitions_for(blocks.sparkSession, 7.0 * tokens, TASK))
+    texts = blocks.select("doc_id", "held_out", "size", "words", "place").coalesce(partitions_for(blocks.sparkSession, 7.0 * tokens, TASK))
     observed = _gathered(texts, Observed, model)
     expected = expected_untrained(model, observed)
     for r in range(ROUNDS):
@@ -307,57 +395,53 @@ def _trained(blocks: DataFrame, model: Model, tokens: int) -> Model:
     return model
 
 
-def _initial(counts: DataFrame) -> tuple[Model, int, int]:
+def _initial(summaries: list[bytes]) -> tuple[Model, int, int]:
     """Untrained model with unigram biases; N and V."""
-    signed = int(END.astype(np.int64))
-    top = counts.where(F.col("word") != signed).orderBy(F.desc("n"), "word").limit(FREQUENT - 1).collect()
-    end = counts.where(F.col("word") == signed).collect()
-    frequent = [signed, *(r["word"] for r in top)]
-    cells = counts.where(~F.col("word").isin(frequent)).groupBy((F.shiftrightunsigned("word", 40) % CELLS).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    whole = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n, v = int(whole[0] or 0), int(whole[1] or 0)
-    number = np.array([end[0]["n"] if end else 0, *(r["n"] for r in top)], float)
-    tokens, types = np.zeros(CELLS), np.zeros(CELLS)
-    for r in cells:
-        tokens[r["k"]], types[r["k"]] = r["n"], r["v"]
-    return untrained(np.array(frequent, np.int64).view(np.uint64), number, tokens, types, n), n, v
-
-
-def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, sorted, and how many of them learn; parts are (words, weight), folded as they come."""
-    words, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(parts), 16):
-        some = parts[i : i + 16]
-        both = np.concatenate([words, *(w for w, _ in some)])
-        words, inverse = np.unique(both, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([count, *(t for _, t in some)]), len(words)).astype(np.int64)
-    return words, count
+    most, cells = [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+    for x in summaries:
+        x = np.frombuffer(x, np.int64)
+        most.append(x[1 : 1 + 2 * x[0]].reshape(2, -1))
+        cells.append(x[1 + 2 * x[0] :].reshape(3, -1))
+    (words, number), (cell, n, v) = np.concatenate(most, axis=1), np.concatenate(cells, axis=1)
+    tokens, types = (np.bincount(cell, x, CELLS) for x in (n, v))
+    words = words.view(np.uint64)
+    at = _most(words, number)
+    words, number = words[at], number[at]
+    np.subtract.at(tokens, cell_of(words), number)
+    np.subtract.at(types, cell_of(words), 1)
+    if END not in words:
+        words, number = np.concatenate([[END], words]), np.concatenate([[0], number])
+    return untrained(words, number.astype(float), tokens, types, int(n.sum())), int(n.sum()), int(v.sum())
 
 
 def _score(model: Model, n: int, v: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        held = docs.column("held_out").to_numpy(zero_copy_only=False)
-        parts, at = [], 0
-        for batch in docs.combine_chunks().to_batches():
-            for i, j, words, begin in _words_of(batch):
-                parts.append((words, begin, np.repeat(~held[at + i : at + j], np.diff(begin))))
-            at += batch.num_rows
-        word, count = _tally([(w, t) for w, _, t in parts])
-        other = answers.column("word").to_numpy().view(np.uint64)
-        count[np.searchsorted(word, other)] = answers.column("n").to_numpy()
-        out: list[list] = [[], [], [], []]
-        for words, begin, _ in parts:
-            own = count[np.searchsorted(word, words)]
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        data = answers.sort_by("bucket").column("data")
+        rest = np.concatenate([_unpacked(x.as_py()) for x in data]).astype(np.int64)
+        batch = blocks.combine_chunks().to_batches()[0]  # a block is one row
+        count = _unpacked(batch.column("c")[0].as_py()).astype(np.int64) + rest
+        (doc_id, held_out, sizes, words, place) = next(_blocks_of(batch))
+        out: list[list] = [[], [], []]
+        for _, _, begin in _pieces(sizes):
+            at, begin = place[begin[0] : begin[-1]], begin - begin[0]
+            own = count[at]
             base = np.log10((own + SMOOTH) / (n + SMOOTH * (v + 1)))
-            for k, x in enumerate(((own > 0).astype(np.int64), base, log_likelihood(model, words, begin, own))):
-                out[k + 1].append(np.add.reduceat(x, begin[:-1]))
-            out[0].append(np.diff(begin))
-        size, found, base, score = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+            for k, x in enumerate(((own > 0).astype(np.int64), base, log_likelihood(model, words[at], begin, own))):
+                out[k].append(np.add.reduceat(x, begin[:-1]))
+        found, base, score = (np.concatenate(x) for x in out)
+        return pa.table({"doc_id": doc_id, "held_out": pa.array(held_out), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array(np.full(len(sizes), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
+def _counts(blocks: DataFrame) -> DataFrame:
+    """Answers to each block and summaries by bucket (see _counted)."""
+    asked = int(blocks.agg(F.sum("n_words")).first()[0] or 0)
+    buckets = max(4 * int(blocks.sparkSession.sparkContext.defaultParallelism), math.ceil(asked / ASKED))
+    parts = blocks.select("block", "words", "c").mapInArrow(_asked(buckets), "bucket int, block long, words binary, c binary")
+    return materialize(parts.groupBy("bucket").applyInArrow(_counted, "bucket int, block long, data binary"), "lm-counts")
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -367,12 +451,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc32_of_id(F.col("doc_id")) % 10 == 0).alias("held_out"))
-    blocks = materialize(rows.mapInArrow(_assign, "doc_id long, text string, held_out boolean, block long"), "lm-blocks")
-    requests = materialize(blocks.mapInArrow(_requests, "block long, word long, c long"), "lm-words")
-    counts = materialize(requests.groupBy("word").agg(F.sum("c").alias("n")), "lm-counts")
-    model, n, v = _initial(counts.where("n > 0"))
+    blocks = materialize(rows.mapInArrow(_encoded, BLOCKS), "lm-blocks")
+    counts = _counts(blocks)
+    model, n, v = _initial([r["data"] for r in counts.where("block is null").select("data").collect()])
     model = _trained(blocks, model, n)
-    # a word whose count is that of its block needs no answer
-    answers = requests.join(counts, "word").where("n <> c").select("block", "word", "n")
+    answers = counts.where("block is not null")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model, n, v), schema)
-
