@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +61,29 @@ def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     table[got.column("w").to_numpy()] = got.column("b").to_numpy()
     held = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def seen(key: pd.Series) -> pd.Series:
-        out, h = np.ones(len(key), bool), key.to_numpy().astype(np.int64).view(np.uint64)
+    @F.arrow_udf("boolean")  # loads no pandas
+    def seen(key: pa.Array) -> pa.Array:
+        out, h = np.ones(len(key), bool), key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for part in (h, h >> np.uint64(32)):
             i = (part & np.uint64((1 << bits) - 1)).astype(np.int64)
             out &= (held.value[i >> 6] >> (i & 63) & 1).astype(bool)
-        return pd.Series(out)
+        return pa.array(out)
 
     return seen
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow; memory that it has freed goes back to the system when its task ends, as workers live on and count for their executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

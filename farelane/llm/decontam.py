@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
+from farelane.llm.common import trimmed
 
 N, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -199,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _blocks(benchmark):
-        part = rows.mapInArrow(_find(items), schema)
+        part = rows.mapInArrow(trimmed(_find(items)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -207,5 +208,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no test item is found, with docs' columns."""
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(items), docs.schema)
+        docs = docs.mapInArrow(trimmed(_clean(items)), docs.schema)
     return docs

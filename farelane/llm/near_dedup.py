@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
-from farelane.llm.common import drop_table, materialize, maybe_in, unused
+from farelane.llm.common import drop_table, materialize, maybe_in, trimmed, unused
 
 HASHES, ROWS, BATCH = 288, 6, 48
 MISS = 1e-6
@@ -318,7 +318,7 @@ def _tiles(members: DataFrame, weight: str, most: int) -> DataFrame:
 def _judged(tiles: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
     key = tiles.schema["key"].dataType.simpleString()
     rows = tiles.join(sets if exact else sets.drop("shingles"), "node").repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
-    return rows.mapInArrow(_judge(percent, exact), "a binary, b binary" if exact else f"key {key}, node binary")
+    return rows.mapInArrow(trimmed(_judge(percent, exact)), "a binary, b binary" if exact else f"key {key}, node binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, mark, n_shingles, node, comp, component_id) per row of docs (doc_id, text, mark); comp is null without words."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "mark", F.xxhash64("text").alias("text_key"))
-    each = materialize(docs.mapInArrow(_sketches(k), "doc_id long, mark long, text_key long, n_shingles long, node binary, bands array<long>"), "sketches")
+    each = materialize(docs.mapInArrow(trimmed(_sketches(k)), "doc_id long, mark long, text_key long, n_shingles long, node binary, bands array<long>"), "sketches")
     ids = each.select("doc_id", "mark", "n_shingles", "node")
     nodes = each.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     member = materialize(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
@@ -374,7 +374,7 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     wanted = each.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
     wanted = materialize(wanted.select("node", F.col("lead.doc_id").alias("_id"), F.col("lead.text_key").alias("_key")), "wanted")
     again = docs.where(maybe_in(wanted, "_key")(F.col("text_key"))).join(wanted, (docs["text_key"] == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
-    sets = materialize(again.mapInArrow(_sets(k), "node binary, sig binary, shingles binary"), "sets")
+    sets = materialize(again.mapInArrow(trimmed(_sets(k)), "node binary, sig binary, shingles binary"), "sets")
     comp = _link(shared, sets, percent)
     named = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelane.llm import textbytes as tb
-from farelane.llm.common import crc32_of_id
+from farelane.llm.common import crc32_of_id, trimmed
 
 SAMPLE, DICTIONARY, LEVEL, THRESHOLD = 4000, 1 << 20, 6, 0.3
 PIECE = 256
@@ -160,4 +160,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_measure(batch, model)[1] >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -1,5 +1,12 @@
+import os
+import subprocess
+import sys
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from farelane.llm import decontam, near_dedup
+from farelane.llm.common import maybe_in
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +31,16 @@ def test_stages_take_effect_and_keep_columns(spark):
 def test_run_gives_the_last_stage(spark):
     a, b = (corpus_pipeline.run(spark, SF).toPandas().sort_values("start", ignore_index=True) for _ in range(2))
     assert a.equals(b) and len(a)
+
+
+def test_workers_of_the_filter_stages_load_no_pandas():
+    """Some 45 MB a worker that no kernel of these stages uses; common's filter of keys runs on Arrow as well."""
+    code = "import sys, farelane.llm.quality, farelane.llm.near_dedup, farelane.llm.decontam, farelane.llm.sstable; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
+
+
+def test_keys_that_a_column_holds_pass_its_filter(spark):
+    keys = spark.createDataFrame([(k * k * 7919 - 5,) for k in range(50)], "k long")
+    rows = spark.range(-100, 100).select(F.col("id").cast("long").alias("k")).union(keys)
+    got = {r["k"] for r in rows.where(maybe_in(keys, "k")(F.col("k"))).collect()}
+    assert {r["k"] for r in keys.collect()} <= got and len(got) < 150
