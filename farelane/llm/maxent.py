@@ -166,20 +166,13 @@ class Expected:
 
     def __init__(self, model: Model):
         self.model, self.tokens, self.sums = model, 0, np.zeros(model.weights.shape, np.float64)
-        self.place = np.zeros(1 << model.bits, np.int64)
 
     def learn(self, words: np.ndarray, begin: np.ndarray) -> None:
         self.tokens += len(words)
         for depth, _, node, _, rows in choices(self.model, words, begin):
-            p = probabilities(self.model, depth, node, rows).astype(np.float64).ravel()
-            for k, row in enumerate(rows):
-                row = row - (k << self.model.bits)
-                seen = np.zeros(1 << self.model.bits, bool)
-                seen[row] = True
-                own = np.flatnonzero(seen)
-                self.place[own] = np.arange(0, len(own) * WIDE, WIDE)
-                at = (self.place[row][:, None] + np.arange(WIDE)).ravel()
-                self.sums[depth][own + (k << self.model.bits)] += np.bincount(at, p, len(own) * WIDE).reshape(-1, WIDE)
+            p, sums = probabilities(self.model, depth, node, rows).astype(np.float64).ravel(), self.sums[depth].reshape(-1)
+            for row in rows:
+                np.add.at(sums, (row[:, None] * WIDE + np.arange(WIDE)).ravel(), p)
 
     def flush(self) -> np.ndarray:
         return self.sums.ravel()

@@ -421,6 +421,24 @@ def test_maxent_sums_and_probabilities_by_definition():
         assert abs(math.log10(p) - got[i]) < 1e-4
 
 
+def test_maxent_expected_counts_are_added_in_place(monkeypatch):
+    """By definition at trained weights; no copy of a batch's rows is counted apart and added after."""
+    model, words, begin, _ = small_model()
+    seen = maxent.Observed(model)
+    seen.learn(words, begin)
+    observed = seen.flush().reshape(model.weights.shape)
+    model = maxent.stepped(model, observed, maxent.expected_untrained(model, observed))
+    want = np.zeros(model.weights.shape)
+    for depth, _, node, _, rows in maxent.choices(model, words, begin):
+        for i, p in enumerate(maxent.probabilities(model, depth, node, rows)):
+            for row in rows:
+                want[depth, row[i]] += p
+    monkeypatch.setattr(np, "bincount", None)
+    got = maxent.Expected(model)
+    got.learn(words, begin)
+    assert np.allclose(got.flush().reshape(want.shape), want)
+
+
 def test_maxent_scores_held_out_texts_above_unigrams_however_rows_are_dealt(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = [{r["doc_id"]: r for r in maxent.score_documents(docs.repartition(n)).collect()} for n in (2, 8)]
